@@ -71,6 +71,30 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+# --- membership filters of fixed size --------------------------------------------------------------
+
+_FILTER_BITS = 27
+
+
+class Filter:
+    """A bitmap over the low bits of 64-bit keys: 16 MB whatever their number; true for all keys given, and for few others."""
+
+    def __init__(self, keys: DataFrame, column: str):
+        bit = F.col(column).bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+        words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        bits = np.zeros(1 << (_FILTER_BITS - 6), np.uint64)
+        bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+        self.sent = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        return Filter.test(self.sent.value, keys)
+
+    @staticmethod
+    def test(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        k = keys.view(np.uint64) & np.uint64((1 << _FILTER_BITS) - 1)
+        return (bits[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) == 1
+
+
 # --- words of whole text columns -----------------------------------------------------------------
 
 
