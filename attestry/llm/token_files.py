@@ -32,7 +32,7 @@ CACHE_PIECES = 4_000_000
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 
 #: Bytes of text that are encoded at once.
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 
 FILES = "shard int, doc_id long, start long, n_tokens long, ids array<int>"
 _FILES = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
