@@ -12,7 +12,8 @@ rest of their sets leaves to be shared. The join runs in three steps:
 2. Orders. Prefix tokens of all nodes, under each of ``ORDERS`` orders, meet in buckets. Pairs of nodes from
    different components that share tokens are counted per order, after tests of length and position. Only
    pairs that reach the needed count under all orders are candidates: the filters are intersected.
-3. Candidates are verified on the full sets, and the components are completed.
+3. Candidates are verified on the full sets in rounds, those that share most first; after each round the
+   components grow, and pairs within one need no test. At the end every candidate was tested or connected.
 
 Every order puts tokens of a bounded list last that many sets share, so a passage of thousands of documents
 is in no prefix but of sets that consist of such tokens. The list only affects speed.
@@ -22,7 +23,7 @@ row is its doc_id; rows that repeat a doc_id count as documents of that id; a nu
 component's smallest; an empty table gives an empty result; extra columns are not read. Tokens and sets are
 compared by 64-bit hashes.
 
-Scale: texts are read four times and never shuffled; sets leave a scan only if a filter of fixed size says
+Scale: texts are read five times and never shuffled; sets leave a scan only if a filter of fixed size says
 that a pair needs them. What is shuffled of the rest are prefixes, packed by block and bucket.
 """
 
@@ -32,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -41,8 +42,8 @@ from .shared import NONSPACE, Filter, blocks, discard, hash_words, join_measured
 WORDS = 5
 ORDERS = 2
 HASHES = 8
-#: Tokens in as many sets of one batch as REPEATS and HOT in all are put last, the HOT_TOKENS most frequent at most.
-REPEATS, HOT, HOT_TOKENS = 2, 32, 200_000
+#: Tokens that stand near the front of HOT sets or more are put last, the HOT_TOKENS most frequent at most.
+HOT, HOT_TOKENS = 9, 1_000_000
 #: Prefix tokens that meet in one bucket, about.
 BUCKET = 2_000_000
 
@@ -114,8 +115,8 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 # --- step 0: nodes ------------------------------------------------------------------------------------
 
-NODES = "doc_id long, node long, n long, minima array<long>, tokens array<long>, counts array<int>"
-_NODES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("minima", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+NODES = "doc_id long, node long, n long, minima array<long>"
+_NODES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("minima", pa.list_(pa.int64()))])
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -124,14 +125,10 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def number_documents(docs: DataFrame) -> DataFrame:
-    """A row per document (NODES): its set's number (null: empty), size and minima; a batch's first row has the batch's frequent tokens."""
+    """A row per document (NODES): its set's number (null: empty), size and minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
-            pending: list[np.ndarray] = []
-            repeated = {}
-            out = []
             for i, j, values, at in _sets(batch.column(1)):
                 n, node = np.diff(at), set_numbers(values, at)
                 some = n > 0
@@ -139,28 +136,40 @@ def number_documents(docs: DataFrame) -> DataFrame:
                 for k in range(HASHES):
                     if some.any():
                         minima[some, k] = np.minimum.reduceat(mix(values ^ _seed(k)), at[:-1][some]).view(np.int64)
-                for d in np.flatnonzero(some):
-                    if int(node[d]) not in seen:
-                        seen.add(int(node[d]))
-                        pending.append(values[at[d] : at[d + 1]])
-                out.append((i, j, node, n, minima))
-            if pending:
-                t, c = np.unique(np.concatenate(pending), return_counts=True)
-                repeated = (t[c >= REPEATS].view(np.int64), c[c >= REPEATS])
-            for i, j, node, n, minima in out:
-                tokens, counts = repeated if i == 0 and repeated else (np.empty(0, np.int64), np.empty(0, np.int64))
-                cut = np.concatenate(([0], np.full(j - i, len(tokens))))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(node, pa.int64(), mask=node == 0), pa.array(n, pa.int64()), lists(minima.ravel(), np.arange(j - i + 1) * HASHES, pa.int64()), lists(tokens, cut, pa.int64()), lists(counts, cut, pa.int32())],
-                    schema=_NODES,
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(node, pa.int64(), mask=node == 0), pa.array(n, pa.int64()), lists(minima.ravel(), np.arange(j - i + 1) * HASHES, pa.int64())], schema=_NODES)
 
     return docs.select("doc_id", "text").mapInArrow(run, NODES)
 
 
-def hot_tokens(nodes: DataFrame) -> np.ndarray:
-    """The bounded list of tokens that all orders put last, sorted."""
-    found = nodes.filter(F.size("tokens") > 0).select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n")).filter(F.col("n") >= HOT)
+def hot_tokens(docs: DataFrame, buckets: int) -> np.ndarray:
+    """The bounded list of tokens that all orders put last, sorted. Counts cover the prefixes and a quarter beyond, where tokens move up."""
+    none = np.empty(0, np.uint64)
+
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, values, at in _sets(batch.column(0)):
+                n, node = np.diff(at), set_numbers(values, at)
+                once = np.zeros(len(n), bool)
+                once[np.unique(node, return_index=True)[1]] = True
+                found = []
+                for k in range(ORDERS):
+                    owner = np.repeat(np.arange(len(n)), n)
+                    order = np.lexsort((ordered(values, k, none), owner))
+                    place = np.arange(len(values)) - np.repeat(at[:-1], n)
+                    found.append(values[order][(place < np.repeat(prefix_size(n) * 5 // 4, n)) & np.repeat(once, n)])
+                own = np.concatenate(found)
+                bucket = (mix(own) % _U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                own, bucket = own[order], bucket[order]
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                some = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([own[cuts[b] : cuts[b + 1]].tobytes() for b in some.tolist()], pa.binary())], names=["bucket", "tokens"])
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        t, c = np.unique(np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint64), return_counts=True)
+        return pa.table({"token": pa.array(t[c >= HOT].view(np.int64)), "n": pa.array(c[c >= HOT], pa.int64())})
+
+    found = docs.select("text").mapInArrow(front, "bucket int, tokens binary").groupBy("bucket").applyInArrow(count, "token long, n long")
     return np.sort(found.orderBy(F.col("n").desc(), "token").limit(HOT_TOKENS).select("token").toArrow()["token"].to_numpy().view(np.uint64))
 
 
@@ -351,10 +360,27 @@ def _candidates(packed: DataFrame, buckets: int) -> DataFrame:
 
     pairs = packed.groupBy("bucket").applyInArrow(run, PAIRS)
     per = lambda k: (F.sum(F.when(F.col("k") == k, F.col("c"))).alias(f"c{k}"), F.max(F.when(F.col("k") == k, F.col("need"))).alias(f"need{k}"))
-    both = pairs.groupBy("a", "b").agg(*[x for k in range(ORDERS) for x in per(k)])
+    both = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), *[x for k in range(ORDERS) for x in per(k)])
     for k in range(ORDERS):
         both = both.filter(F.col(f"c{k}") >= F.col(f"need{k}"))
-    return both.select("a", "b")
+    return both.select("a", "b", "c")
+
+
+def _linked(candidates: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels completed by the candidates: verified in rounds, the pairs that share most first, and none within a component."""
+    spark, most = candidates.sparkSession, 1
+    while True:
+        side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+        own = lambda x: F.coalesce(F.col(f"label_{x}"), F.col(x))
+        candidates, path = stored(candidates.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(own("a") != own("b")).select("a", "b", "c"), "open-pairs")
+        if not candidates.limit(1).count():
+            return labels
+        first = lambda x, y: candidates.withColumn("r", F.row_number().over(Window.partitionBy(x).orderBy(F.col("c").desc(), y))).filter(F.col("r") <= most).select("a", "b")
+        now, _ = stored(first("a", "b").unionByName(first("b", "a")).distinct(), "round")
+        links, _ = stored(links.unionByName(_verified(now, sets)), "links")
+        labels = components(links)
+        candidates = candidates.join(now, ["a", "b"], "left_anti")
+        most *= 8
 
 
 # --- the join ---------------------------------------------------------------------------------------------
@@ -370,24 +396,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         trash.append(path)
         return df
 
+    ends = lambda pairs: Filter(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), "node")
+
     nodes, _ = stored(number_documents(docs), "nodes")
-    hot = spark.sparkContext.broadcast(hot_tokens(nodes))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, -(-total // (4 * BUCKET)))
+    hot = spark.sparkContext.broadcast(hot_tokens(docs, buckets))
     distinct = nodes.filter(F.col("node").isNotNull()).select("node", "minima").groupBy("node").agg(F.first("minima").alias("minima"))
     hubs = kept(_hub_pairs(distinct), "hub-pairs")
-    apart = Filter(hubs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    apart = ends(hubs)
     sets = kept(_needed_sets(docs, apart), "sets")
     links = kept(_verified(hubs, sets), "links")
     labels = components(links)
 
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, -(-total // (4 * BUCKET)))
     joined = sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("comp"), "tokens")
     packed = _prefixes(docs, apart, hot, buckets).unionByName(_prefixes_of(joined, hot, buckets))
     candidates = kept(_candidates(packed, buckets), "candidates")
     if candidates.limit(1).count():
-        more = Filter(candidates.select(F.explode(F.array("a", "b")).alias("node")), "node")
-        late = kept(_verified(candidates, kept(_needed_sets(docs, more), "sets")), "links")
-        labels = components(links.unionByName(late))
+        labels = _linked(candidates, kept(_needed_sets(docs, ends(candidates)), "sets"), links, labels)
     first = nodes.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("low"))
     own = first.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
     least = own.groupBy("label").agg(F.min("low").alias("component_id"))

@@ -35,7 +35,7 @@ SAMPLE_DOCS = 1_200
 ROUNDS, SMOOTHING = 3, 0.02
 #: Words that a worker keeps with their scores (8 + 8 x languages bytes each).
 CACHE_WORDS = 2_000_000
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 SLOTS = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
