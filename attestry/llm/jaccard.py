@@ -6,8 +6,8 @@ a hash, so exact copies are one node. A global order of tokens gives each set x
 |x| - ceil(0.75 |x|) + 1 tokens; linked sets share a prefix token under every order, and even as many as the
 rest of their sets leaves to be shared. The join runs in three steps:
 
-1. Hubs. Each node meets, by equal minima of eight hashes, the smallest and largest node that share them
-   in at least half; the pairs are verified and merged. This finds most links of groups of copies without
+1. Hubs. Each node meets, by equal minima of eight hashes, the most central nodes that share at least
+   three of them, and its neighbours in four sorted orders of the minima; the pairs are verified and merged. This finds most links of groups of copies without
    their pairs. It is a shortcut only: nothing relies on what it misses.
 2. Orders. Prefix tokens of all nodes, under each of ``ORDERS`` orders, meet in buckets. Pairs of nodes from
    different components that share tokens are counted per order, after tests of length and position. Only
@@ -42,7 +42,7 @@ from .shared import NONSPACE, Filter, blocks, discard, hash_words, join_measured
 WORDS = 5
 ORDERS = 2
 HASHES = 8
-#: Tokens that stand near the front of HOT sets or more are put last, the HOT_TOKENS most frequent at most.
+#: Tokens of HOT sets or more are put last, the HOT_TOKENS most frequent at most.
 HOT, HOT_TOKENS = 9, 1_000_000
 #: Prefix tokens that meet in one bucket, about.
 BUCKET = 2_000_000
@@ -95,12 +95,20 @@ def _seed(k: int) -> np.uint64:
     return mix(np.array([k + 1], np.uint64))[0]
 
 
-def ordered(values: np.ndarray, k: int, hot: np.ndarray) -> np.ndarray:
+def short(values: np.ndarray, buckets: int) -> np.ndarray:
+    """A token's bucket and 32 further bits of its hash: what is counted to find frequent tokens."""
+    m = mix(values ^ _seed(50))
+    return (m & ~_U(0xFFFFFFFF)) | (m % _U(buckets))
+
+
+def ordered(values: np.ndarray, k: int, hot: tuple[np.ndarray, int]) -> np.ndarray:
     """Ranks of tokens in global order k: a hash, with the hot tokens behind all others."""
     key = mix(values ^ _seed(100 + k)) & _LOW
-    if len(hot):
-        i = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-        key |= (hot[i] == values).astype(np.uint64) << _U(63)
+    own, buckets = hot
+    if len(own):
+        s = short(values, buckets)
+        i = np.minimum(np.searchsorted(own, s), len(own) - 1)
+        key |= (own[i] == s).astype(np.uint64) << _U(63)
     return key
 
 
@@ -141,36 +149,34 @@ def number_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, NODES)
 
 
-def hot_tokens(docs: DataFrame, buckets: int) -> np.ndarray:
-    """The bounded list of tokens that all orders put last, sorted. Counts cover the prefixes and a quarter beyond, where tokens move up."""
-    none = np.empty(0, np.uint64)
+def hot_tokens(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
+    """The bounded list of tokens that all orders put last, by their short() forms, sorted; and the number of buckets."""
 
-    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, values, at in _sets(batch.column(0)):
-                n, node = np.diff(at), set_numbers(values, at)
-                once = np.zeros(len(n), bool)
-                once[np.unique(node, return_index=True)[1]] = True
-                found = []
-                for k in range(ORDERS):
-                    owner = np.repeat(np.arange(len(n)), n)
-                    order = np.lexsort((ordered(values, k, none), owner))
-                    place = np.arange(len(values)) - np.repeat(at[:-1], n)
-                    found.append(values[order][(place < np.repeat(prefix_size(n) * 5 // 4, n)) & np.repeat(once, n)])
-                own = np.concatenate(found)
-                bucket = (mix(own) % _U(buckets)).astype(np.int64)
+                once = np.zeros(len(at) - 1, bool)
+                once[np.unique(set_numbers(values, at), return_index=True)[1]] = True
+                own = short(values[np.repeat(once, np.diff(at))], buckets)
+                bucket = (own & _U(0xFFFFFFFF)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                own, bucket = own[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                bits = (own[order] >> _U(32)).astype(np.uint32)
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([own[cuts[b] : cuts[b + 1]].tobytes() for b in some.tolist()], pa.binary())], names=["bucket", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([bits[cuts[b] : cuts[b + 1]].tobytes() for b in some.tolist()], pa.binary())], names=["bucket", "tokens"])
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        t, c = np.unique(np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint64), return_counts=True)
-        return pa.table({"token": pa.array(t[c >= HOT].view(np.int64)), "n": pa.array(c[c >= HOT], pa.int64())})
+        bits = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["tokens"]])
+        bits.sort()
+        cut = np.flatnonzero(np.concatenate(([True], bits[1:] != bits[:-1])))
+        c = np.diff(np.append(cut, len(bits)))
+        token = (bits[cut[c >= HOT]].astype(np.uint64) << _U(32)) | _U(key[0].as_py())
+        return pa.table({"token": pa.array(token.view(np.int64)), "n": pa.array(c[c >= HOT], pa.int64())})
 
-    found = docs.select("text").mapInArrow(front, "bucket int, tokens binary").groupBy("bucket").applyInArrow(count, "token long, n long")
-    return np.sort(found.orderBy(F.col("n").desc(), "token").limit(HOT_TOKENS).select("token").toArrow()["token"].to_numpy().view(np.uint64))
+    found = docs.select("text").mapInArrow(all_of, "bucket int, tokens binary").groupBy("bucket").applyInArrow(count, "token long, n long")
+    own = found.orderBy(F.col("n").desc(), "token").limit(HOT_TOKENS).select("token").toArrow()["token"].to_numpy().view(np.uint64)
+    docs.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of this count
+    return np.sort(own), buckets
 
 
 # --- sets and verification ----------------------------------------------------------------------------
@@ -208,22 +214,46 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(distinct: DataFrame) -> DataFrame:
+    """Each node with hubs: of the nodes that share one of its minima, the one that shares most minima with others."""
     at = distinct.select("node", F.posexplode("minima").alias("k", "v"))
-    groups = at.groupBy("k", "v").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(F.col("low") < F.col("high"))
-    met = at.join(groups, ["k", "v"]).select("node", F.explode(F.array("low", "high")).alias("hub"), (F.col("k") >= 0).alias("one")).filter(F.col("node") != F.col("hub"))
-    half = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HASHES // 2)
-    best = half.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("x"), F.max(F.struct("c", -F.col("hub"))).alias("y"))
-    pair = best.select("node", F.explode(F.array(F.col("x.hub"), -F.col("y.col2"))).alias("hub"))
+    groups = at.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    met = at.join(groups, ["k", "v"])
+    central = met.groupBy("node").agg(F.sum("n").alias("central"))
+    met, _ = stored(met.join(central, "node").select("k", "v", "node", "central"), "minima")
+    hubs = met.groupBy("k", "v").agg(F.max(F.struct("central", "node")).alias("hub"))
+    shared = met.join(hubs, ["k", "v"]).filter(F.col("node") != F.col("hub.node")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= 3)
+    best = shared.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("x"), F.max(F.struct("hub", "c")).alias("y"))
+    pair = best.select("node", F.explode(F.array_distinct(F.array(F.col("x.hub.node"), F.col("y.hub.node")))).alias("hub"))
     return pair.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _neighbour_pairs(distinct: DataFrame) -> DataFrame:
+    """Nodes next to each other, and next but one, where all are sorted by their minima from the first, third, fifth or seventh on, if they share half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, own, turn = np.empty(0, np.int64), np.empty((0, HASHES), np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            node = np.concatenate((node[-2:], batch.column(0).to_numpy()))
+            own = np.concatenate((own[-2:], batch.column(1).flatten().to_numpy().reshape(-1, HASHES)))
+            turn = np.concatenate((turn[-2:], batch.column(2).to_numpy()))
+            for d in (1, 2):
+                if len(node) > d:
+                    ok = ((own[d:] == own[:-d]).sum(axis=1) * 2 >= HASHES) & (turn[d:] == turn[:-d])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[d:], node[:-d])[ok]), pa.array(np.maximum(node[d:], node[:-d])[ok])], names=["a", "b"])
+
+    turned = distinct.select("node", F.explode(F.array(*[F.struct(F.concat(F.slice("minima", k + 1, HASHES - k), F.slice("minima", 1, k) if k else F.array().cast("array<long>")).alias("key"), F.lit(k).cast("long").alias("turn")) for k in range(0, HASHES, 2)])).alias("x"))
+    flat = turned.select("node", F.col("x.key").alias("key"), F.col("x.turn").alias("turn"), *[F.col("x.key")[i].alias(f"m{i}") for i in range(3)])
+    order = ["turn", "m0", "m1", "m2", "node"]
+    return flat.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "key", "turn").mapInArrow(run, "a long, b long").filter("a <> b")
+
+
 # --- step 2: orders -----------------------------------------------------------------------------------
 
 PACKED = "bucket int, tokens binary, place binary, member binary, node binary, comp binary, size binary, last binary"
 _PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "place", "member", "node", "comp", "size", "last"))])
 
 
-def _packed(values: np.ndarray, at: np.ndarray, node: np.ndarray, comp: np.ndarray, hot: np.ndarray, buckets: int) -> pa.RecordBatch | None:
+def _packed(values: np.ndarray, at: np.ndarray, node: np.ndarray, comp: np.ndarray, hot: tuple[np.ndarray, int], buckets: int) -> pa.RecordBatch | None:
     """The prefixes of some sets, a row per order and bucket."""
     n = np.diff(at)
     if not len(values):
@@ -403,7 +433,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = max(8, -(-total // (4 * BUCKET)))
     hot = spark.sparkContext.broadcast(hot_tokens(docs, buckets))
     distinct = nodes.filter(F.col("node").isNotNull()).select("node", "minima").groupBy("node").agg(F.first("minima").alias("minima"))
-    hubs = kept(_hub_pairs(distinct), "hub-pairs")
+    hubs = kept(_hub_pairs(distinct).unionByName(_neighbour_pairs(distinct)).distinct(), "hub-pairs")
     apart = ends(hubs)
     sets = kept(_needed_sets(docs, apart), "sets")
     links = kept(_verified(hubs, sets), "links")
