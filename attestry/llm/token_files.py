@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .shared import blocks, distinct, hash_words, join_measured, per_text, ranges, scratch
 
 #: Pieces that a worker keeps, about 40 bytes each.
-CACHE_PIECES = 4_000_000
+CACHE_PIECES = 1_500_000
 #: Bytes of a row group and of a page, and rows of a page at most.
-ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
+ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 
 #: Bytes of text that are encoded at once.
 BLOCK = 2 << 20
@@ -73,7 +73,8 @@ class Encoder:
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
 
     def raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # few at once: an encoding takes about 1 KB until its ids are read
+        return [e.ids for i in range(0, len(texts), 2_000) for e in self.tokenizer.encode_batch_fast(texts[i : i + 2_000], add_special_tokens=False)]
 
     def learn(self, keys: np.ndarray, pieces: list[str], size: np.ndarray) -> None:
         found = self.raw(pieces)
