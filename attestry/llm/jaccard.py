@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import NONSPACE, Filter, blocks, discard, hash_words, join_measured, lists, mix, per_text, ranges, split_words, stored
+from .shared import NONSPACE, Filter, blocks, discard, hash_words, join_measured, lists, mix, per_text, ranges, released, split_words, stored
 
 WORDS = 5
 ORDERS = 2
@@ -146,7 +146,7 @@ def number_documents(docs: DataFrame) -> DataFrame:
                         minima[some, k] = np.minimum.reduceat(mix(values ^ _seed(k)), at[:-1][some]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(node, pa.int64(), mask=node == 0), pa.array(n, pa.int64()), lists(minima.ravel(), np.arange(j - i + 1) * HASHES, pa.int64())], schema=_NODES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, NODES)
+    return docs.select("doc_id", "text").mapInArrow(released(run), NODES)
 
 
 def hot_tokens(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
@@ -173,7 +173,7 @@ def hot_tokens(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
         token = (bits[cut[c >= HOT]].astype(np.uint64) << _U(32)) | _U(key[0].as_py())
         return pa.table({"token": pa.array(token.view(np.int64)), "n": pa.array(c[c >= HOT], pa.int64())})
 
-    found = docs.select("text").mapInArrow(all_of, "bucket int, tokens binary").groupBy("bucket").applyInArrow(count, "token long, n long")
+    found = docs.select("text").mapInArrow(released(all_of), "bucket int, tokens binary").groupBy("bucket").applyInArrow(count, "token long, n long")
     own = found.orderBy(F.col("n").desc(), "token").limit(HOT_TOKENS).select("token").toArrow()["token"].to_numpy().view(np.uint64)
     docs.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of this count
     return np.sort(own), buckets
@@ -198,7 +198,7 @@ def _needed_sets(docs: DataFrame, wanted: Filter) -> DataFrame:
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    return docs.select("text").mapInArrow(run, "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return docs.select("text").mapInArrow(released(run), "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def _neighbour_pairs(distinct: DataFrame) -> DataFrame:
     turned = distinct.select("node", F.explode(F.array(*[F.struct(F.concat(F.slice("minima", k + 1, HASHES - k), F.slice("minima", 1, k) if k else F.array().cast("array<long>")).alias("key"), F.lit(k).cast("long").alias("turn")) for k in range(0, HASHES, 2)])).alias("x"))
     flat = turned.select("node", F.col("x.key").alias("key"), F.col("x.turn").alias("turn"), *[F.col("x.key")[i].alias(f"m{i}") for i in range(3)])
     order = ["turn", "m0", "m1", "m2", "node"]
-    return flat.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "key", "turn").mapInArrow(run, "a long, b long").filter("a <> b")
+    return flat.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "key", "turn").mapInArrow(released(run), "a long, b long").filter("a <> b")
 
 
 # --- step 2: orders -----------------------------------------------------------------------------------
@@ -296,7 +296,7 @@ def _prefixes(docs: DataFrame, apart: Filter, hot, buckets: int) -> DataFrame:
                 if out is not None:
                     yield out
 
-    return docs.select("text").mapInArrow(run, PACKED)
+    return docs.select("text").mapInArrow(released(run), PACKED)
 
 
 def _prefixes_of(sets: DataFrame, hot, buckets: int) -> DataFrame:
@@ -315,7 +315,7 @@ def _prefixes_of(sets: DataFrame, hot, buckets: int) -> DataFrame:
                     yield out
                 i = j
 
-    return sets.select("node", "comp", "tokens").mapInArrow(run, PACKED)
+    return sets.select("node", "comp", "tokens").mapInArrow(released(run), PACKED)
 
 
 def _meet(key: np.ndarray, place: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:

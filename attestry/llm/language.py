@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LETTERS, LOWER, blocks, distinct, fresh, hash_words, per_text, split_words
+from .shared import LETTERS, LOWER, blocks, distinct, fresh, hash_words, per_text, released, split_words
 
 PIECE, FRAGMENT = 14, 64
 #: The bound of the fit's sample, over all languages.
 SAMPLE_DOCS = 1_200
 ROUNDS, SMOOTHING = 3, 0.02
 #: Words that a worker keeps with their scores (8 + 8 x languages bytes each).
-CACHE_WORDS = 2_000_000
-BLOCK = 2 << 20
+CACHE_WORDS = 500_000
+BLOCK = 1 << 20
 SLOTS = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -278,7 +278,7 @@ def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best].tolist(), pa.string()), pa.array(top)], names=[*batch.schema.names, pred, score])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:

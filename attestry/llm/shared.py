@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -21,7 +22,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 #: Bytes of text that are split at once; bounds the memory of a Python worker.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
+
+
+# --- memory of Python workers ------------------------------------------------------------------
+
+
+def released(run):
+    """run, which at its end gives unused memory back to the system: workers live on and share an executor's limit."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return inner
 
 
 # --- scratch tables ---------------------------------------------------------------------------

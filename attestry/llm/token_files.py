@@ -16,6 +16,7 @@ the offsets of shards come from one sum per shard. A worker's store of encoded p
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import blocks, distinct, hash_words, join_measured, per_text, ranges, scratch
+from .shared import blocks, distinct, hash_words, join_measured, per_text, ranges, released, scratch
 
 #: Pieces that a worker keeps, about 40 bytes each.
 CACHE_PIECES = 1_500_000
@@ -32,7 +33,7 @@ CACHE_PIECES = 1_500_000
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 
 #: Bytes of text that are encoded at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 FILES = "shard int, doc_id long, start long, n_tokens long, ids array<int>"
 _FILES = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -62,6 +63,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism; a thread pool keeps memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -201,7 +203,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -
                 start += int(ends[-1])
 
     tie = F.xxhash64("text")
-    out = docs.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie).mapInArrow(run, FILES)
+    out = docs.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie).mapInArrow(released(run), FILES)
     options = {"parquet.writer.version": "v2", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": PAGE_ROWS, "compression": "zstd"}
     options |= {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "start", "n_tokens")}
     out.write.options(**options).parquet(path)
