@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import formula as J
 from ..functions import scalars as S
 from ..operators import calibration as C
 from ..operators import compare as X
@@ -421,3 +422,25 @@ def rubric_conformance(spark, d):
     checks = F.array(F.struct(F.lit("answered").alias("trait"), F.when(F.col("a") >= F.col("u"), "met").otherwise("not_met").alias("outcome")), F.struct(F.lit("system").alias("trait"), F.when(F.col("sys"), "met").otherwise("warning").alias("outcome")))
     s = _documents(spark, d).select(F.explode(checks).alias("s")).select("s.*")
     return s.groupBy("trait").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("met", "warning", "not_met")])
+
+
+# --- the JSON query language -------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, '{"k":' || k || ',"large":' || (k > 50)::VARCHAR || ',"more":' || (2 * k + 1) || ',"half":' || CASE WHEN k % 2 = 0 THEN k // 2 || '.0' ELSE k // 2 || '.5' END || ',"parts":["' || k || '","x"],"kind":"number"}' AS value, NULL::VARCHAR AS error
+FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
+def formula_values(spark, d):
+    source = "{k: k, large: k > `50`, more: k * `2` + `1`, half: k / `2`, parts: split(k & \"-x\", \"-\"), kind: type(k)}"
+    return table(spark, d, "events").select("event_id", J.formula(F.col("props"), source).alias("r")).select("event_id", "r.*")
+
+
+@query("""WITH e AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT 'large' AS statement, count(*) FILTER (k > 50) AS fired, 0::BIGINT AS multiple, 0::BIGINT AS failed FROM e
+UNION ALL SELECT 'listed', count(*) FILTER (k = 42), 0, 0 FROM e
+UNION ALL SELECT 'both', count(*), count(*) FILTER (k > 0), 0 FROM e
+UNION ALL SELECT 'divided', 0, 0, count(*) FROM e
+UNION ALL SELECT 'helped', count(*) FILTER (k >= 10 AND k < 20), 0, 0 FROM e""")
+def formula_statements(spark, d):
+    rules = {"large": "k > `50`", "listed": "[@][? k == `42`]", "both": "[k, $low][? @ > `0`]", "divided": "k / `0`", "helped": "between(k, `10`, `20`)"}
+    rows = J.statements(table(spark, d, "events"), "event_id", "props", rules, {"$low": 1}, {"between": "$args[0] >= $args[1] && $args[0] < $args[2]"})
+    return rows.groupBy("statement").agg(F.count_if("fires").alias("fired"), F.count_if("multiple").alias("multiple"), F.count("error").alias("failed"))
