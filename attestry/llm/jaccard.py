@@ -4,15 +4,19 @@ A document's set holds its distinct five-word shingles (words [^\\x20\\x09-\\x0D
 words: the whole sequence is one). Two documents link when 100 * shared >= 75 * united. Sets are numbered by
 a hash, so exact copies are one node. A global order of tokens gives each set x a prefix of
 |x| - ceil(0.75 |x|) + 1 tokens; linked sets share a prefix token under every order, and even as many as the
-rest of their sets leaves to be shared. The join runs in three steps:
+rest of their sets leaves to be shared. The join runs in four steps:
 
 1. Hubs. Each node meets, by equal minima of eight hashes, the most central nodes that share at least
    three of them, and its neighbours in four sorted orders of the minima; the pairs are verified and merged. This finds most links of groups of copies without
    their pairs. It is a shortcut only: nothing relies on what it misses.
-2. Orders. Prefix tokens of all nodes, under each of ``ORDERS`` orders, meet in buckets. Pairs of nodes from
-   different components that share tokens are counted per order, after tests of length and position. Only
+2. Clusters. Nodes that resemble the same hub form a cluster, whatever it is. Its core are the tokens that many of
+   its members hold. Two members share no more than the smaller number of core tokens of the two, plus the tokens
+   outside the core that both hold. So a pair is a candidate only if both have enough core tokens or if they meet
+   in an index of the tokens outside, which few members share. All pairs within a cluster are decided by that.
+3. Orders. Prefix tokens of all nodes, under each of ``ORDERS`` orders, meet in buckets. Pairs of nodes from
+   different components and clusters that share tokens are counted per order, after tests of length and position. Only
    pairs that reach the needed count under all orders are candidates: the filters are intersected.
-3. Candidates are verified on the full sets in rounds, those that share most first; after each round the
+4. Candidates are verified on the full sets in rounds, those that share most first; after each round the
    components grow, and pairs within one need no test. At the end every candidate was tested or connected.
 
 Every order puts tokens of a bounded list last that many sets share, so a passage of thousands of documents
@@ -44,6 +48,10 @@ ORDERS = 2
 HASHES = 8
 #: Tokens of HOT sets or more are put last, the HOT_TOKENS most frequent at most.
 HOT, HOT_TOKENS = 9, 1_000_000
+#: Members that a cluster has at least; its core tokens are held by one in CORE_PART of them, and by CORE_LEAST at least.
+CLUSTER, CORE_PART, CORE_LEAST = 8, 16, 4
+#: Core tokens of all clusters up to which they are broadcast (8 bytes each).
+CORE_TOKENS = 1_000_000
 #: Prefix tokens that meet in one bucket, about.
 BUCKET = 2_000_000
 
@@ -201,13 +209,18 @@ def _needed_sets(docs: DataFrame, wanted: Filter) -> DataFrame:
     return docs.select("text").mapInArrow(released(run), "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the number of tokens they share and their sizes na and nb."""
     left = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     both = pairs.join(left, "b").join(right, "a")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(100 * shared >= 75 * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
+    return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared"), F.size("ta").alias("na"), F.size("tb").alias("nb"))
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    united = F.col("na") + F.col("nb") - F.col("shared")
+    return compared.filter(100 * F.col("shared") >= 75 * united).select("a", "b")
 
 
 # --- step 1: hubs -------------------------------------------------------------------------------------
@@ -247,13 +260,77 @@ def _neighbour_pairs(distinct: DataFrame) -> DataFrame:
     return flat.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "key", "turn").mapInArrow(released(run), "a long, b long").filter("a <> b")
 
 
-# --- step 2: orders -----------------------------------------------------------------------------------
-
-PACKED = "bucket int, tokens binary, place binary, member binary, node binary, comp binary, size binary, last binary"
-_PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "place", "member", "node", "comp", "size", "last"))])
-
-
-def _packed(values: np.ndarray, at: np.ndarray, node: np.ndarray, comp: np.ndarray, hot: tuple[np.ndarray, int], buckets: int) -> pa.RecordBatch | None:
+# --- step 2: clusters ---------------------------------------------------------------------------------
+
+
+def _clusters(compared: DataFrame) -> DataFrame:
+    """(node, cluster, members): nodes climb, three times, to the neighbour with most neighbours, where a neighbour has a similarity of 0.25."""
+    near = compared.filter(4 * F.col("shared") >= F.col("na") + F.col("nb") - F.col("shared"))
+    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("d"))
+    above = both.join(degree.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("d", "b")).alias("x"))
+    here = F.struct("d", F.col("node").alias("b"))
+    up, _ = stored(degree.join(above, "node").select("node", F.when(F.col("x") > here, F.col("x.b")).otherwise(F.col("node")).alias("up")), "climb")
+    step = up.select(F.col("node").alias("at"), F.col("up").alias("next"))
+    for _ in range(2):
+        up = up.join(step, F.col("up") == F.col("at")).select("node", F.col("next").alias("up"))
+    large = up.groupBy(F.col("up").alias("cluster")).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= CLUSTER)
+    return up.withColumnRenamed("up", "cluster").join(large, "cluster").select("node", "cluster", "members")
+
+
+def _members(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(node, cluster, n, s, outside) of all in clusters: size, number of core tokens, and the tokens outside the core."""
+    own = sets.join(clusters, "node")
+    held = own.select("cluster", "members", F.explode("tokens").alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("c"), F.first("members").alias("members"))
+    # A core token is in a 16th of the sets, so a core has 16 times their mean size at most.
+    core, _ = stored(held.filter((F.col("c") >= CORE_LEAST) & (CORE_PART * F.col("c") >= F.col("members"))).groupBy("cluster").agg(F.collect_list("token").alias("core")), "cores")
+    size = core.agg(F.sum(F.size("core"))).first()[0] or 0
+    with_core = own.join(F.broadcast(core) if size <= CORE_TOKENS else core, "cluster", "left")
+    outside = F.array_except("tokens", F.coalesce("core", F.array().cast("array<long>")))
+    return with_core.select("node", "cluster", F.size("tokens").alias("n"), outside.alias("outside")).withColumn("s", F.col("n") - F.size("outside"))
+
+
+def _centre_pairs(members: DataFrame) -> DataFrame:
+    """Each member that holds the core by half, with the member that differs least from the core."""
+    centre = members.groupBy("cluster").agg(F.max(F.struct(2 * F.col("s") - F.col("n"), "node")).alias("x")).select("cluster", F.col("x.node").alias("centre"))
+    met = members.filter(2 * F.col("s") >= F.col("n")).join(centre, "cluster").filter(F.col("node") != F.col("centre"))
+    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+
+
+def _within(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidates (a, b, c) of two members of a cluster and of different components; c is what they can share at most."""
+    own = members.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+    facts = own.select("node", "cluster", "comp", "n", "s")
+    side = lambda df, x: df.select(*[F.col(c).alias(f"{c}_{x}") for c in df.columns])
+    least = F.least("s_a", "s_b")
+    sizes = 4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")
+
+    # Both hold enough of the core: one of the two isn't in the component that has most of such members.
+    full = facts.filter(4 * F.col("s") >= 3 * F.col("n"))
+    main = full.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("m"))
+    minor = full.join(main, "cluster").filter(F.col("comp") != F.col("m.comp")).select(*facts.columns)
+    enough = side(minor, "a").join(side(full, "b"), F.col("cluster_a") == F.col("cluster_b")).filter((F.col("comp_a") != F.col("comp_b")) & sizes & (7 * least >= 3 * (F.col("n_a") + F.col("n_b"))))
+    found = enough.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), least.cast("long").alias("c")).distinct()
+
+    # Both hold a token outside the core. Two tokens with one hash only add a candidate.
+    tokens = own.select(F.explode("outside").alias("token"), "cluster", "node", "comp").select(F.xxhash64("cluster", "token").alias("k"), "node", "comp")
+    w = Window.partitionBy("k")
+    several, _ = stored(tokens.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).filter(F.col("lo") != F.col("hi")).select("k", "node", "comp"), "outside")
+    x, y = side(several, "a"), side(several, "b")
+    met = x.join(y, (F.col("k_a") == F.col("k_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")))
+    counted = met.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("o"))
+    sized = counted.join(side(facts.select("node", "n", "s"), "a"), "node_a").join(side(facts.select("node", "n", "s"), "b"), "node_b")
+    met = sized.filter(sizes & (7 * (least + F.col("o")) >= 3 * (F.col("n_a") + F.col("n_b")))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (least + F.col("o")).cast("long").alias("c"))
+    return found.unionByName(met).groupBy("a", "b").agg(F.max("c").alias("c"))
+
+
+# --- step 3: orders -----------------------------------------------------------------------------------
+
+PACKED = "bucket int, tokens binary, place binary, member binary, node binary, comp binary, cluster binary, size binary, last binary"
+_PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "place", "member", "node", "comp", "cluster", "size", "last"))])
+
+
+def _packed(values: np.ndarray, at: np.ndarray, node: np.ndarray, comp: np.ndarray, cluster: np.ndarray, hot: tuple[np.ndarray, int], buckets: int) -> pa.RecordBatch | None:
     """The prefixes of some sets, a row per order and bucket."""
     n = np.diff(at)
     if not len(values):
@@ -276,7 +353,7 @@ def _packed(values: np.ndarray, at: np.ndarray, node: np.ndarray, comp: np.ndarr
         for b in np.unique(bucket).tolist():
             part = slice(cuts[b], cuts[b + 1])
             who, local = np.unique(member[part], return_inverse=True)
-            for column, x in zip(rows, (k * buckets + b, key[part], place[part].astype(np.int32), local.astype(np.int32), node[who], comp[who], n[who].astype(np.int32), last[who]), strict=True):
+            for column, x in zip(rows, (k * buckets + b, key[part], place[part].astype(np.int32), local.astype(np.int32), node[who], comp[who], cluster[who], n[who].astype(np.int32), last[who]), strict=True):
                 column.append(x if isinstance(x, int) else x.tobytes())
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PACKED, strict=True)], schema=_PACKED)
 
@@ -292,7 +369,7 @@ def _prefixes(docs: DataFrame, apart: Filter, hot, buckets: int) -> DataFrame:
                 own = np.flatnonzero((node != 0) & ~Filter.test(sent.value, node))
                 own = own[np.unique(node[own], return_index=True)[1]]
                 n = np.diff(at)[own]
-                out = _packed(values[ranges(at[:-1][own], n)], np.concatenate(([0], np.cumsum(n))), node[own], node[own], hot.value, buckets)
+                out = _packed(values[ranges(at[:-1][own], n)], np.concatenate(([0], np.cumsum(n))), node[own], node[own], np.zeros(len(own), np.int64), hot.value, buckets)
                 if out is not None:
                     yield out
 
@@ -300,39 +377,41 @@ def _prefixes(docs: DataFrame, apart: Filter, hot, buckets: int) -> DataFrame:
 
 
 def _prefixes_of(sets: DataFrame, hot, buckets: int) -> DataFrame:
-    """The same of sets (node, comp, tokens)."""
+    """The same of sets (node, comp, cluster, tokens); cluster 0 is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column(2)
+            tokens = batch.column(3)
             at = np.asarray(tokens.offsets).astype(np.int64)
             i = 0
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(at, at[i] + 300_000, "right")) - 1)
                 values = np.asarray(tokens.values)[at[i] : at[j]].view(np.uint64)
-                out = _packed(values, at[i : j + 1] - at[i], batch.column(0).to_numpy()[i:j], batch.column(1).to_numpy()[i:j], hot.value, buckets)
+                out = _packed(values, at[i : j + 1] - at[i], batch.column(0).to_numpy()[i:j], batch.column(1).to_numpy()[i:j], batch.column(2).to_numpy()[i:j], hot.value, buckets)
                 if out is not None:
                     yield out
                 i = j
 
-    return sets.select("node", "comp", "tokens").mapInArrow(released(run), PACKED)
+    return sets.select("node", "comp", "cluster", "tokens").mapInArrow(released(run), PACKED)
 
 
-def _meet(key: np.ndarray, place: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _meet(key: np.ndarray, place: np.ndarray, node: np.ndarray, comp: np.ndarray, cluster: np.ndarray, size: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(a, b, shared, needed) of pairs of one bucket, in parts; a pair may be in several parts."""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # copies in several batches are one
     order, key, node = order[new], key[new], node[new]
-    place, comp, size, last = place[order], comp[order], size[order], last[order]
+    place, comp, cluster, size, last = place[order], comp[order], cluster[order], size[order], last[order]
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     m = np.diff(np.append(cut, len(key)))
     low, high = np.minimum.reduceat(comp, cut), np.maximum.reduceat(comp, cut)
-    cut, m = cut[low != high], m[low != high]  # else all are in one component already
+    one, other = np.minimum.reduceat(cluster, cut), np.maximum.reduceat(cluster, cut)
+    apart = (low != high) & ((one != other) | (one == 0))  # else all are in one component or cluster already
+    cut, m = cut[apart], m[apart]
 
     def tested(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
-        ok = comp[i] != comp[j]
+        ok = (comp[i] != comp[j]) & ((cluster[i] != cluster[j]) | (cluster[i] == 0))
         i, j = i[ok], j[ok]
         a, b = size[i], size[j]
         least = needed(a, b)
@@ -375,12 +454,12 @@ def _candidates(packed: DataFrame, buckets: int) -> DataFrame:
     """Pairs (a, b) that reach the needed count of shared prefix tokens under every order."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
         for row in table.to_batches():
             for r in range(row.num_rows):
                 raw = {n: row.column(i)[r].as_buffer() for i, n in enumerate(_PACKED.names) if i}
                 member = np.frombuffer(raw["member"], np.int32)
-                got = (np.frombuffer(raw["tokens"], np.uint64), np.frombuffer(raw["place"], np.int32), np.frombuffer(raw["node"], np.int64)[member], np.frombuffer(raw["comp"], np.int64)[member], np.frombuffer(raw["size"], np.int32)[member], np.frombuffer(raw["last"], np.uint64)[member])
+                got = (np.frombuffer(raw["tokens"], np.uint64), np.frombuffer(raw["place"], np.int32), np.frombuffer(raw["node"], np.int64)[member], np.frombuffer(raw["comp"], np.int64)[member], np.frombuffer(raw["cluster"], np.int64)[member], np.frombuffer(raw["size"], np.int32)[member], np.frombuffer(raw["last"], np.uint64)[member])
                 for c, x in zip(columns, got, strict=True):
                     c.append(x)
         k = key[0].as_py() // buckets
@@ -407,7 +486,7 @@ def _linked(candidates: DataFrame, sets: DataFrame, links: DataFrame, labels: Da
             return labels
         first = lambda x, y: candidates.withColumn("r", F.row_number().over(Window.partitionBy(x).orderBy(F.col("c").desc(), y))).filter(F.col("r") <= most).select("a", "b")
         now, _ = stored(first("a", "b").unionByName(first("b", "a")).distinct(), "round")
-        links, _ = stored(links.unionByName(_verified(now, sets)), "links")
+        links, _ = stored(links.unionByName(_links(_compared(now, sets))), "links")
         labels = components(links)
         candidates = candidates.join(now, ["a", "b"], "left_anti")
         most *= 8
@@ -436,12 +515,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = kept(_hub_pairs(distinct).unionByName(_neighbour_pairs(distinct)).distinct(), "hub-pairs")
     apart = ends(hubs)
     sets = kept(_needed_sets(docs, apart), "sets")
-    links = kept(_verified(hubs, sets), "links")
+    compared = kept(_compared(hubs, sets), "compared")
+    clusters = kept(_clusters(compared), "clusters")
+    members = kept(_members(sets, clusters), "members")
+    links = kept(_links(compared).unionByName(_links(_compared(kept(_centre_pairs(members), "centre-pairs"), sets))).distinct(), "links")
     labels = components(links)
+    within = kept(_within(members, labels), "within")
 
-    joined = sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("comp"), "tokens")
+    joined = sets.join(labels, "node", "left").join(clusters, "node", "left").select("node", F.coalesce("label", "node").alias("comp"), F.coalesce("cluster", F.lit(0)).cast("long").alias("cluster"), "tokens")
     packed = _prefixes(docs, apart, hot, buckets).unionByName(_prefixes_of(joined, hot, buckets))
-    candidates = kept(_candidates(packed, buckets), "candidates")
+    candidates = kept(_candidates(packed, buckets).unionByName(within), "candidates")
     if candidates.limit(1).count():
         labels = _linked(candidates, kept(_needed_sets(docs, ends(candidates)), "sets"), links, labels)
     first = nodes.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("low"))

@@ -113,6 +113,25 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got == {k: v[1] for k, v in jaccard.brute_force(d).items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
 
 
+def test_near_copies_scattered_around_a_core(spark):
+    """A cluster whose members fall into several components, with and without edits in common."""
+    import random
+
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    edits = [(r.randrange(120), f"e{i}") for i in range(12)]
+    rows = []
+    for d in range(160):
+        own = list(base)
+        for place, word in r.sample(edits, r.randrange(3)) + [(r.randrange(120), f"x{d}-{i}") for i in range(r.randrange(7))]:
+            own[place] = word
+        rows.append((d, " ".join(own[: r.choice((120, 120, 112, 95))])))
+    want = jaccard.brute_force(rows)
+    assert len({v[1] for v in want.values()}) > 5
+    got = {x[0]: (x[1], x[2]) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 @have
 def test_language(spark, empty):
     table = spark.read.parquet(f"{SF}/documents.parquet")
