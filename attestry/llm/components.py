@@ -25,3 +25,20 @@ def components(links: DataFrame) -> DataFrame:
         if not changed:
             discard(spark, edges)
             return labels
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links (a, b): only links between different components are walked."""
+    spark = links.sparkSession
+    at = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    own = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    between, path = stored(own.filter(F.col("a") != F.col("b")).distinct(), "between")
+    if not between.limit(1).count():
+        discard(spark, path)
+        return labels
+    more = components(between)  # its nodes are labels, or nodes that had none
+    moved = more.select(F.col("node").alias("was"), F.col("label").alias("now"))
+    old = labels.join(moved, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
+    out, _ = stored(old.unionByName(more.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+    discard(spark, path)
+    return out

@@ -7,8 +7,8 @@ a hash, so exact copies are one node. A global order of tokens gives each set x
 rest of their sets leaves to be shared. The join runs in four steps:
 
 1. Hubs. Each node meets, by equal minima of eight hashes, the most central nodes that share at least
-   three of them, and its neighbours in four sorted orders of the minima; the pairs are verified and merged. This finds most links of groups of copies without
-   their pairs. It is a shortcut only: nothing relies on what it misses.
+   three of them, and its neighbours in four sorted orders of the minima; the pairs are verified and merged.
+   This finds most links of groups of copies without their pairs. It is a shortcut only: nothing relies on what it misses.
 2. Clusters. Nodes that resemble the same hub form a cluster, whatever it is. Its core are the tokens that many of
    its members hold. Two members share no more than the smaller number of core tokens of the two, plus the tokens
    outside the core that both hold. So a pair is a candidate only if both have enough core tokens or if they meet
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, extended
 from .shared import NONSPACE, Filter, blocks, discard, hash_words, join_measured, lists, mix, per_text, ranges, released, split_words, stored
 
 WORDS = 5
@@ -475,7 +475,7 @@ def _candidates(packed: DataFrame, buckets: int) -> DataFrame:
     return both.select("a", "b", "c")
 
 
-def _linked(candidates: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+def _linked(candidates: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels completed by the candidates: verified in rounds, the pairs that share most first, and none within a component."""
     spark, most = candidates.sparkSession, 1
     while True:
@@ -486,8 +486,8 @@ def _linked(candidates: DataFrame, sets: DataFrame, links: DataFrame, labels: Da
             return labels
         first = lambda x, y: candidates.withColumn("r", F.row_number().over(Window.partitionBy(x).orderBy(F.col("c").desc(), y))).filter(F.col("r") <= most).select("a", "b")
         now, _ = stored(first("a", "b").unionByName(first("b", "a")).distinct(), "round")
-        links, _ = stored(links.unionByName(_links(_compared(now, sets))), "links")
-        labels = components(links)
+        links, _ = stored(_links(_compared(now, sets)), "links")
+        labels = extended(labels, links)
         candidates = candidates.join(now, ["a", "b"], "left_anti")
         most *= 8
 
@@ -518,15 +518,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     compared = kept(_compared(hubs, sets), "compared")
     clusters = kept(_clusters(compared), "clusters")
     members = kept(_members(sets, clusters), "members")
-    links = kept(_links(compared).unionByName(_links(_compared(kept(_centre_pairs(members), "centre-pairs"), sets))).distinct(), "links")
-    labels = components(links)
+    labels = components(kept(_links(compared), "links"))
+    labels = extended(labels, kept(_links(_compared(kept(_centre_pairs(members), "centre-pairs"), sets)), "centre-links"))
     within = kept(_within(members, labels), "within")
 
     joined = sets.join(labels, "node", "left").join(clusters, "node", "left").select("node", F.coalesce("label", "node").alias("comp"), F.coalesce("cluster", F.lit(0)).cast("long").alias("cluster"), "tokens")
     packed = _prefixes(docs, apart, hot, buckets).unionByName(_prefixes_of(joined, hot, buckets))
     candidates = kept(_candidates(packed, buckets).unionByName(within), "candidates")
     if candidates.limit(1).count():
-        labels = _linked(candidates, kept(_needed_sets(docs, ends(candidates)), "sets"), links, labels)
+        labels = _linked(candidates, kept(_needed_sets(docs, ends(candidates)), "sets"), labels)
     first = nodes.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("low"))
     own = first.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
     least = own.groupBy("label").agg(F.min("low").alias("component_id"))
