@@ -2,12 +2,14 @@
 
 A line's words ([^\\x20\\x09-\\x0D]+, case kept) that hold a digit are variable fields, written <*>. The tree
 sorts a line by its number of words, then by its first ``DEPTH`` words (variable ones as <*>): that path is its
-leaf. Within a leaf, the words that all lines share stay, and positions where lines differ become <*> too, if
-at least ``SIMILAR`` of the positions are shared; else each distinct line of the leaf is a template. A template
-found in at least ``MIN_DOCS`` documents recurs, and its lines are dropped from all documents.
+leaf. Within a leaf, lines are grouped by similarity, a template for each group: the words that all its lines
+share stay, and positions where they differ become <*> too. The leaf's distinct lines are taken in the order of
+their words' hashes. Each joins the group whose template has the most words in common with it, place by place (the
+earliest group if several do), if these are at least ``SIMILAR`` of the positions; else it opens a group. A
+template found in at least ``MIN_DOCS`` documents recurs, and its lines are dropped from all documents.
 
-Unlike the usual one-line-at-a-time form, a leaf's template does not depend on the order of lines, so tasks
-need no shared tree and reruns agree.
+Unlike in the usual form, the order is not that in which lines come but a fixed one, so tasks need no shared tree
+and reruns agree. Lines that all share ``SIMILAR`` of their positions are one group in any order.
 
 Defined cases: null text has no lines and stays null; a text without words has lines, of which none is
 dropped; lines are cut at line feeds only; rows that repeat (doc_id and text) count as one document for
@@ -15,8 +17,9 @@ recurrence and are treated alike; an empty table gives an empty result; extra co
 names get underscores in front if they clash. Lines and leaves are compared by 64-bit hashes.
 
 Scale: per line, two hashes are shuffled and summed with partial aggregation; words of a line leave a scan only
-if a filter of fixed size says that its leaf holds several templates. Texts are shuffled once, to meet the
-numbers of their dropped lines.
+if a filter of fixed size says that its leaf holds several templates. Leaves that are one group are found by
+sums; the distinct lines of any other leaf go through one task, which keeps a row of hashes per group of the leaf it
+is at, and compares each line with all of them. Texts are shuffled once, to meet the numbers of their dropped lines.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NONSPACE, Filter, blocks, discard, fresh, hash_words, lists, mix, per_text, split_words, stored
+from .shared import NONSPACE, Filter, blocks, discard, fresh, hash_text, hash_words, join_measured, lists, mix, per_text, split_words, stored
 
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.6, 3
 
@@ -95,27 +98,62 @@ def _leaf_words(docs: DataFrame, wanted: Filter) -> DataFrame:
                 if len(own):
                     n = x.n[own]
                     at = np.repeat(x.first[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.leaf[own]), lists(x.words[at].view(np.int64), np.concatenate(([0], np.cumsum(n))), pa.int64())], names=["leaf", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.leaf[own]), pa.array(x.template[own]), lists(x.words[at].view(np.int64), np.concatenate(([0], np.cumsum(n))), pa.int64())], names=["leaf", "template", "words"])
 
-    return docs.select("text").mapInArrow(run, "leaf long, words array<long>")
+    return docs.select("text").mapInArrow(run, "leaf long, template long, words array<long>")
+
+
+def _groups(lines: DataFrame, similar: float) -> DataFrame:
+    """(template, group) of distinct lines (leaf, template, words); a group's name is the template of its first line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, size = None, 0
+        for batch in batches:
+            leaves, templates = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            at, values = np.asarray(batch.column(2).offsets), np.asarray(batch.column(2).values)
+            out = np.empty(len(leaves), np.int64)
+            for k in range(len(leaves)):
+                line = values[at[k] : at[k + 1]]
+                if leaves[k] != leaf:
+                    leaf, size = leaves[k], 0
+                    shared, names = np.empty((8, len(line)), np.int64), np.empty(8, np.int64)
+                same = (shared[:size] == line).sum(axis=1)
+                best = int(same.argmax()) if size else 0
+                if size and same[best] / len(line) >= similar:
+                    shared[best][shared[best] != line] = 0  # no word's hash
+                else:
+                    if size == len(shared):
+                        shared, names = np.concatenate((shared, np.empty_like(shared))), np.concatenate((names, np.empty_like(names)))
+                    best, size = size, size + 1
+                    shared[best], names[best] = line, templates[k]
+                out[k] = names[best]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out)], names=["template", "group"])
+
+    return lines.repartition("leaf").sortWithinPartitions("leaf", "words").mapInArrow(run, "template long, group long")
 
 
 def recurring(docs: DataFrame, hashed: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
-    """(kind, key) of the recurring templates: kind 0 a whole leaf, kind 1 a line template."""
+    """(kind, key) of the recurring templates: kind 0 a whole leaf, kind 1 a line as it is before it is generalised."""
     once = hashed.dropDuplicates(["row_key"])
     pairs = F.array_distinct(F.filter(F.arrays_zip("leaves", "templates"), lambda x: x["templates"] != 0))
     templates, path = stored(once.select(F.explode(pairs).alias("x")).groupBy(F.col("x.leaves").alias("leaf"), F.col("x.templates").alias("template")).agg(F.count(F.lit(1)).alias("n")), "templates")
     mixed = templates.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).filter((F.col("kinds") > 1) & (F.col("n") >= min_docs)).select("leaf")
     mixed, path2 = stored(mixed, "mixed-leaves")
-    words = _leaf_words(docs, Filter(mixed, "leaf")).select("leaf", F.posexplode("words").alias("place", "word"))
+    lines, path4 = stored(_leaf_words(docs, Filter(mixed, "leaf")), "leaf-words")
+    words = lines.select("leaf", F.posexplode("words").alias("place", "word"))
     fixed = words.groupBy("leaf", "place").agg((F.min("word") == F.max("word")).alias("same")).groupBy("leaf").agg(F.avg(F.col("same").cast("double")).alias("share")).filter(F.col("share") >= similar)
     general = fixed.join(mixed, "leaf", "left_semi").select("leaf")
     general, path3 = stored(general, "general-leaves")
     flat = once.select(F.explode(F.array_distinct(F.filter("leaves", lambda x: x != 0))).alias("leaf"))
     wide = flat.join(general, "leaf", "left_semi").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select(F.lit(0).alias("kind"), F.col("leaf").alias("key"))
-    narrow = templates.filter(F.col("n") >= min_docs).join(general, "leaf", "left_anti").select(F.lit(1).alias("kind"), F.col("template").alias("key"))
-    out, _ = stored(wide.unionByName(narrow), "recurring")
-    discard(docs.sparkSession, path, path2, path3)
+    split = lines.join(mixed.join(general, "leaf", "left_anti"), "leaf", "left_semi").dropDuplicates(["template"])
+    groups, path5 = stored(_groups(split, similar), "groups")
+    held = join_measured(once.select("row_key", F.explode(pairs).alias("x")).select("row_key", F.col("x.templates").alias("template")), groups, "template", "inner", groups.count())
+    often = held.select("row_key", "group").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
+    alike = groups.join(often, "group", "left_semi").select(F.lit(1).alias("kind"), F.col("template").alias("key"))
+    narrow = templates.filter(F.col("n") >= min_docs).join(mixed, "leaf", "left_anti").select(F.lit(1).alias("kind"), F.col("template").alias("key"))
+    out, _ = stored(wide.unionByName(alike).unionByName(narrow), "recurring")
+    discard(docs.sparkSession, path, path2, path3, path4, path5)
     return out
 
 
@@ -156,15 +194,24 @@ def brute_force(docs: list[tuple], min_docs: int = MIN_DOCS, similar: float = SI
     word = re.compile(r"[^\x20\x09-\x0D]+")
     parsed = {d: [tuple("<*>" if re.search("[0-9]", w) else w for w in word.findall(x)) for x in t.split("\n")] if t is not None else [] for d, t in docs}
     leaf = lambda x: (len(x), x[:DEPTH])
-    kinds, holders, leaf_docs = {}, {}, {}
+    kinds, holders = {}, {}
     for d, xs in parsed.items():
         for x in xs:
             if x:
                 kinds.setdefault(leaf(x), set()).add(x)
                 holders.setdefault(x, set()).add(d)
-                leaf_docs.setdefault(leaf(x), set()).add(d)
-    general = {k for k, v in kinds.items() if len(v) > 1 and sum(len(holders[x]) for x in v) >= min_docs and sum(len(set(c)) == 1 for c in zip(*v, strict=True)) >= similar * k[0]}
-    gone = lambda x: bool(x) and (len(leaf_docs[leaf(x)]) >= min_docs if leaf(x) in general else len(holders[x]) >= min_docs)
+    order = lambda x: [int(_FIELD.view(np.int64)) if w == "<*>" else int(hash_text([w], fold=False).view(np.int64)[0]) for w in x]
+    recurs = set()
+    for xs in kinds.values():
+        groups: list[list[tuple]] = []
+        for x in sorted(xs, key=order):
+            alike = [sum({y[i] for y in g} == {x[i]} for i in range(len(x))) for g in groups]
+            if alike and max(alike) / len(x) >= similar:
+                groups[alike.index(max(alike))].append(x)
+            else:
+                groups.append([x])
+        recurs.update(x for g in groups if len(set().union(*(holders[y] for y in g))) >= min_docs for x in g)
+    gone = lambda x: x in recurs
     out = {}
     for d, t in docs:
         rows = t.split("\n") if t is not None else []

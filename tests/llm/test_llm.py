@@ -237,6 +237,30 @@ def test_line_templates(spark, docs, empty):
     assert line_templates.drop_recurring(empty).count() == 0
 
 
+def test_line_templates_of_mixed_leaves(spark):
+    """Families and unrelated lines that begin alike: each family recurs by itself, in any order of rows."""
+    one = lambda i: f"job alpha done by name{'abcdefgh'[i]} on the node in zone east"
+    two = lambda i: f"job alpha done after all retries of part{'abcdefgh'[i]} were used up"
+    other = "job alpha done quickly where nobody had expected such luck here"
+    kept = [other, other.replace("quickly", "slowly")]
+    rows = [(i, "\n".join((one(i), two(i % 3), f"own text {'abcdefgh'[i]}"))) for i in range(6)] + [(6, other), (7, kept[1]), (8, one(7))]
+    r = random.Random(4)
+    words = "ab cd ef gh ij kl".split()
+    family = [[r.choice(words) for _ in range(12)] for _ in range(3)]
+    for d in range(20, 60):
+        line = list(r.choice(family))
+        for _ in range(r.randint(0, 4)):
+            line[r.randrange(12)] = r.choice(words)
+        rows.append((d, " ".join(["same", "three", "words", *line])))
+    want = line_templates.brute_force(rows)
+    assert [want[i] for i in (0, 6, 7, 8)] == [(3, 2, "own text a"), (1, 0, kept[0]), (1, 0, kept[1]), (1, 1, "")]
+    assert {want[d][1] for d in range(20, 60)} == {0, 1}
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        got = {x["doc_id"]: (x["n_lines"], len(x["dropped"]), x["text"]) for x in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(seed + 2)).collect()}
+        assert got == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/\r\nx", "<p>é &amp;lt; <b>b</b></p><script>x</script>"), (2, None, None), (3, "u", ""), (1, "http://a/", "<br>a")], "page_id long, url string, html string")
     r = warc.responses(pages)
