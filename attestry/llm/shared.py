@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,25 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """df with two columns of long that name each row, whatever it holds, and their names.
+
+    Rows that come straight from files are named by a hash of the file's path and their number in it; any other
+    df is written first, as its rows may come in another order each time.
+    """
+    part, line = fresh(df.columns, "row_part", "row_line")
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName().startswith("LogicalRelation") and "_metadata" not in {c.lower() for c in df.columns}:
+        try:
+            return df.select("*", F.xxhash64("_metadata.file_path").alias(part), F.col("_metadata.row_index").alias(line)), part, line
+        except AnalysisException:  # a format that doesn't number its rows
+            pass
+    own, _ = stored(df.select("*", F.lit(0).cast("long").alias(part), F.monotonically_increasing_id().alias(line)), "keyed")
+    return own, part, line
+
+
 # --- membership filters of fixed size --------------------------------------------------------------
 
 _FILTER_BITS = 27
