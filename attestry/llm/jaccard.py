@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, extended
-from .shared import NONSPACE, blocks, discard, hash_words, join_measured, keyed, lists, mix, per_text, ranges, released, split_words, stored
+from .shared import NONSPACE, blocks, discard, hash_words, join_measured, keyed, lists, mix, named_rows, per_text, ranges, released, split_words, stored
 
 WORDS = 5
 ORDERS = 3
@@ -549,8 +549,7 @@ def near_rows(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs (doc_id, text)."""
-    own, part, line = keyed(docs.select("doc_id", "text"))
-    return near_rows(own.withColumnsRenamed({part: "part", line: "line"})).select("doc_id", "n_shingles", "component_id")
+    return near_rows(named_rows(docs)).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
+    "op2_decontaminate": decontaminate.ORACLE,
     "op3_chat_perspectives": chat.ORACLE,
     "op6_top_k": topk.ORACLE,
     "op8_warc_derivatives": warc.ORACLE,

@@ -109,6 +109,12 @@ def keyed(df: DataFrame) -> tuple[DataFrame, str, str]:
     return own, part, line
 
 
+def named_rows(df: DataFrame) -> DataFrame:
+    """doc_id, text, part and line of df's rows, as operators take them that name rows."""
+    own, part, line = keyed(df.select("doc_id", "text"))
+    return own.withColumnsRenamed({part: "part", line: "line"})
+
+
 # --- membership filters of fixed size --------------------------------------------------------------
 
 _FILTER_BITS = 27

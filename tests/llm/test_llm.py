@@ -75,26 +75,45 @@ def test_mixing_caps(spark):
     assert t == {"a": 96.0, "b": 3.0, "c": 3.0}
 
 
-@pytest.mark.parametrize("block", [10**9, 60])
-def test_decontamination(spark, docs, empty, block, monkeypatch):
-    monkeypatch.setattr(decontaminate, "ITEM_WORDS", block)
+@pytest.mark.parametrize("at_once", [10**9, 7])
+def test_decontamination(spark, docs, empty, at_once):
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
     w = (texts[3][1] or "").split()
-    items = [(1, " ".join(w[2:20])), (10, "a B c"), (2, None), (3, ""), (4, "one"), (5, " ".join(w[5:18])), (6, "nothing of this occurs anywhere at all"), (None, "z" * 5000)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    shuffled = w[2:15]
+    random.Random(3).shuffle(shuffled)
+    items = [(1, " ".join(w[2:20])), (10, "a B c"), (2, None), (3, ""), (4, "one"), (5, " ".join(w[5:18])), (6, "nothing of this occurs anywhere at all"), (None, "z" * 5000), (7, " ".join(shuffled)), (4, "one"), (4, "a b")]
+    bench = spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, part string")
     want = decontaminate.brute_force(texts, [("null" if i is None else i, t) for i, t in items])
-    got = {r[0]: tuple(r)[1:6] for r in decontaminate.contamination(docs, bench).collect()}
-    assert got == want
-    assert decontaminate.contamination(empty, bench).count() == 0
-    none = decontaminate.contamination(docs, bench.limit(0)).collect()
-    assert len(none) == len(texts) and not any(r["contaminated"] for r in none)
-    kept = decontaminate.remove_contaminated(docs, bench)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d, x in want.items() if not x[4]}
+    rows = shared.named_rows(docs.repartition(3, F.rand(5)))
+    got = {r["doc_id"]: tuple(r)[3:9] for r in decontaminate.contamination(rows, bench, at_once=at_once).collect()}
+    assert got == want and any(x[5] > x[2] for x in want.values())
+    none = decontaminate.contamination(rows, bench.limit(0)).collect()
+    assert len(none) == len(texts) and not any(r["contaminated"] or r["n_near"] for r in none)
+    if at_once > 7:
+        assert decontaminate.contamination(shared.named_rows(empty), bench).count() == 0
+        kept = decontaminate.remove_contaminated(docs, bench)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d, x in want.items() if not x[4]}
+
+
+def test_rows_of_one_id_are_decided_alone(spark, tmp_path):
+    """Repeated ids, null ids and repeated rows: from files and from a table in memory."""
+    text = "a b c d e f g h i j k l m n o"
+    rows = [(1, text, "r"), (2, text, "r"), (2, "p q r s t u v", "r"), (None, text, "r"), (None, "x y z x y", "r"), (3, text, "r"), (3, text, "r"), (None, "x y z x y", "r"), (4, None, "r"), (4, None, "r")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row_part string")
+    table.write.parquet(f"file://{tmp_path}/t")
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    for t in (table, spark.read.parquet(f"file://{tmp_path}/t")):
+        kept = sorted(map(repr, map(tuple, jaccard.one_of_each(t).collect())))
+        assert kept == sorted(map(repr, [rows[0], rows[2], rows[4], rows[8], rows[9]]))
+        clean = sorted(map(repr, map(tuple, decontaminate.remove_contaminated(t, bench).collect())))
+        assert clean == sorted(map(repr, [rows[2], rows[4], rows[7], rows[8], rows[9]]))
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x beta"), (3, "alpha"), (4, "beta alpha")], "doc_id long, text string")
-    assert sorted(r[0] for r in decontaminate.proximity(decontaminate.build_index(d), ["alpha", "beta"], 3).collect()) == [1, 4]
+    d = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x beta"), (3, "alpha"), (4, "beta alpha"), (5, "x beta"), (6, "beta x x x alpha x beta")], "doc_id long, text string")
+    index = decontaminate.build_index(shared.named_rows(d))
+    near = lambda text: sorted(r["doc_id"] for r in decontaminate.search(index, decontaminate.windows(spark.createDataFrame([(1, text)], "item_id long, text string")), slop=3).collect() if r["near"])
+    assert near("alpha beta") == [1, 4, 6] and near("beta") == [1, 2, 4, 5, 6] and near("alpha gamma") == []
 
 
 def test_near_duplicates(spark, docs, empty):
@@ -285,12 +304,12 @@ def test_chat(spark):
 
 
 @have
-@pytest.mark.parametrize("name", ["op1_mix_sources", "op3_chat_perspectives", "op6_top_k", "op8_warc_derivatives"])
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op2_decontaminate", "op3_chat_perspectives", "op6_top_k", "op8_warc_derivatives"])
 def test_sql(spark, name):
     from attestry.llm.queries import ORACLES, QUERIES
 
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, o = QUERIES[name](spark, SF), c.execute(ORACLES[name])
     assert df.columns == [x[0] for x in o.description]
