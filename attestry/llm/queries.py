@@ -23,4 +23,5 @@ ORACLES = {
     "op3_chat_perspectives": chat.ORACLE,
     "op6_top_k": topk.ORACLE,
     "op8_warc_derivatives": warc.ORACLE,
+    "op9_license_scan": licenses.ORACLE,
 }

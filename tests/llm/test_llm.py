@@ -223,26 +223,70 @@ def test_token_files(spark, docs, empty):
     assert token_files.tokens_of(empty).count() == 0
 
 
+def plain_scan(text):
+    """(n_words, n_base, first_word, last_word, base_labels) by plain Python."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    found = [(i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    at = sorted(i for i, _ in found)
+    return len(w), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted({x for _, x in found}))
+
+
+MIT = """Copyright (c) 2020 Some Body
+Permission is hereby granted, free of charge, to any person obtaining a copy of my own tool, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
 def test_licenses(spark, docs, empty):
     texts = [
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Released under the terms of the MIT License.",
-        "licensed under the Apache License, Version 2.0", "Licensed under the Apache Version 2.0", "all rights reserved all Rights\nreserved", None, "", "cc by",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of my own tool, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "licensed under the Apache License, Version 2.0", "Licensed under the Apache Version 2.0", "all rights reserved all Rights\nreserved", None, "", "cc by", MIT, MIT.replace("EXPRESS OR IMPLIED", "EXPRESS"),
+        "You see, this program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of it",
+        "cc by cc by", "cc by cc by", "x " * 20000 + "all rights reserved",
     ]
-    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i]["labels"] for i in range(10)] == ["gpl,gpl-3.0", "cc-by,cc-by-nc-4.0", "mit", "apache-2.0", "", "reserved", "", "", "cc-by", "mit"]
-    assert [got[i]["base_labels"] for i in range(10)] == ["gpl", "cc-by", "", "", "", "reserved", "", "", "cc-by", ""]
-    assert (got[5]["n_base"], got[5]["first_word"], got[5]["last_word"]) == (2, 0, 3) and got[6]["first_word"] is None
-    assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == docs.count()
+    rows = [(i, t, "clash") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, labels string")).collect()}
+    assert [got[i]["labels"] for i in range(12)] == ["gpl,gpl-3.0", "cc-by,cc-by-nc-4.0", "mit", "apache-2.0", "", "reserved", "", "", "cc-by", "mit", "", "agpl-3.0,gpl"]
+    for i, t in enumerate(texts):
+        assert tuple(got[i])[1:6] == plain_scan(t)
+    assert licenses.scan(empty).count() == 0
+    for r in licenses.scan(docs.unionByName(docs)).collect():
+        assert tuple(r)[1:6] == plain_scan(dict((x[0], x[1]) for x in corpus())[r["doc_id"]])
 
 
 def test_template_markup():
+    def ok(a, t):
+        w = shared.hash_text(licenses.words_of(t))
+        return bool(a.places(w, np.zeros(len(w), int), np.full(len(w), len(w))))
+
     a = licenses.Automaton("x", 'use of <<var;name="n";original="it";match=".{0,2}">> is <<beginOptional>>not <<beginOptional>>at all<<endOptional>><<endOptional>> free')
-    ok = lambda t: bool(a.places(shared.hash_text(licenses.words_of(t)), np.full(50, len(licenses.words_of(t)))))
-    assert all(map(ok, ["use of is free", "use of this thing is not free", "use of this is not at all free"]))
-    assert not any(map(ok, ["use of one two three is free", "use of it is at all free", "use of it is", "use it is free"]))
+    assert all(ok(a, t) for t in ["use of is free", "use of this thing is not free", "use of this is not at all free"])
+    assert not any(ok(a, t) for t in ["use of one two three is free", "use of it is at all free", "use of it is", "use it is free"])
+    a = licenses.Automaton("x", '<<beginOptional>>the title<<endOptional>> <<var;name="n";match=".+">> we grant you <<var;name="m";match=".*">> all of it')
+    for n in (1, 80, 5000):
+        assert ok(a, "w " * n + "we grant you " + "x " * n + "all of it") and not ok(a, "we grant you " + "x " * n + "all of it") and not ok(a, "w we grant you " + "x " * n + "all of")
+    many = "w we grant you " * 50
+    assert ok(a, many + "all of it") and not ok(a, many + "all it")
+    w = shared.hash_text(licenses.words_of(many + "all of it"))
+    assert len(a.places(w, np.zeros(len(w), int), np.full(len(w), len(w)))) == 50
     with pytest.raises(ValueError):
-        licenses.Automaton("x", "<<beginOptional>>a<<endOptional>> b")
+        licenses.Automaton("x", "<<beginOptional>>a<<endOptional>>")
+
+
+def test_automata_against_regular_expressions():
+    """Random templates over three words: the automata match where the pattern used for SQL does."""
+    r = random.Random(8)
+    pieces = ["a", "b", "c", "a b", "<<beginOptional>>b<<endOptional>>", '<<var;match="a b|c">>', '<<var;match=".{0,2}">>', '<<var;match=".+">>', "<<beginOptional>>a <<beginOptional>>c<<endOptional>><<endOptional>>"]
+    for _ in range(150):
+        template = " ".join(["a", *r.choices(pieces, k=r.randint(1, 5))]) if r.random() < 0.5 else " ".join([*r.choices(pieces, k=r.randint(1, 4)), "c"])
+        a, p = licenses.Automaton("x", template), re.compile(licenses.pattern(template))
+        for _ in range(20):
+            text = " ".join(r.choices("abc", k=r.randint(1, 12)))
+            w = shared.hash_text(text.split())
+            assert bool(a.places(w, np.zeros(len(w), int), np.full(len(w), len(w)))) == bool(p.search(f" {text} ")), (template, text)
 
 
 def test_line_templates(spark, docs, empty):
@@ -304,7 +348,7 @@ def test_chat(spark):
 
 
 @have
-@pytest.mark.parametrize("name", ["op1_mix_sources", "op2_decontaminate", "op3_chat_perspectives", "op6_top_k", "op8_warc_derivatives"])
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op2_decontaminate", "op3_chat_perspectives", "op6_top_k", "op8_warc_derivatives", "op9_license_scan"])
 def test_sql(spark, name):
     from attestry.llm.queries import ORACLES, QUERIES
 
