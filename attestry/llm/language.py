@@ -1,14 +1,13 @@
 """Language ID by unigram pieces, summed over all segmentations.
 
-The pieces are those of a fixed public byte-level vocabulary, at most ``PIECE`` bytes long. Each language
-has a probability per piece, fitted by expectation maximisation (forward-backward over all segmentations)
-on the words of a bounded sample of labelled documents. A text's words (runs of ASCII letters and bytes
+The pieces are those of a fixed public byte-level vocabulary that can stand in a word, of any length. Each
+language has a probability per piece, fitted by expectation maximisation (forward-backward over all
+segmentations) on the words of a bounded sample of labelled documents (there, runs beyond ``FIT_RUN`` bytes are cut). A text's words (runs of ASCII letters and bytes
 beyond ASCII, A-Z lower-cased, each with a space in front) are scored by the forward algorithm, which sums
-all ways to cut a word into pieces; a document's score is the posterior of its best language.
+all ways to cut a word of any length into pieces; a document's score is the posterior of its best language.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0, and so is every text if no
-label was learned; ties go to the smaller language; runs beyond ``FRAGMENT`` bytes count as several words;
-rows that repeat are predicted alike; an empty table gives an empty result; extra columns pass through,
+label was learned; a word that no segmentation covers counts alike in all languages; ties go to the smaller language; rows that repeat are predicted alike; an empty table gives an empty result; extra columns pass through,
 and added names get underscores in front if they clash.
 
 Scale: one pass over the texts without an exchange. The model is vocabulary x languages. The fit takes
@@ -29,7 +28,9 @@ from pyspark.sql import types as T
 
 from .shared import LETTERS, LOWER, blocks, distinct, fresh, hash_words, per_text, released, split_words
 
-PIECE, FRAGMENT = 14, 64
+FIT_RUN = 256
+#: Words of at most so many bytes are scored in groups of equal length; longer ones in a rolling window, CHUNK bytes at a time.
+SHORT, CHUNK = 64, 1 << 14
 #: The bound of the fit's sample, over all languages.
 SAMPLE_DOCS = 1_200
 ROUNDS, SMOOTHING = 3, 0.02
@@ -50,7 +51,7 @@ def public_pieces(path: str | None = None) -> list[bytes]:
         path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:
         found = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    fits = lambda p: 0 < len(p) <= PIECE and all(b >= 0x80 or 97 <= b <= 122 for b in p.removeprefix(b" "))
+    fits = lambda p: p and all(b >= 0x80 or 97 <= b <= 122 for b in p.removeprefix(b" "))
     return sorted({p for p in found if fits(p)})
 
 
@@ -64,6 +65,7 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes]):
         self.count = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         keys = np.zeros(len(pieces), np.uint64)
         for i, p in enumerate(pieces):
             h = np.uint64(0)
@@ -93,7 +95,7 @@ class Pieces:
         values = _BYTE[words]
         for i in range(words.shape[1]):
             h = np.zeros(len(words), np.uint64)
-            for j in range(i, min(words.shape[1], i + PIECE)):
+            for j in range(i, min(words.shape[1], i + self.longest)):
                 h = h * _STEP + values[:, j]
                 yield i, j + 1, self.number(h)
 
@@ -107,9 +109,9 @@ def forward(pieces: Pieces, p: np.ndarray, words: np.ndarray) -> np.ndarray:
     logs = np.zeros((n, langs))
     done = 0
     for i, j, number in pieces.within(words):
-        if i > done and i % 24 == 0:  # keeps long words from underflow; only the last PIECE rows are still read
-            top = np.maximum(alpha[i : i + PIECE].max(axis=0), 1e-300)
-            alpha[i : i + PIECE] /= top
+        if i > done and i % 24 == 0:  # keeps long words from underflow; only these rows are still read
+            top = np.maximum(alpha[i : i + pieces.longest].max(axis=0), 1e-300)
+            alpha[i : i + pieces.longest] /= top
             logs += np.log(top)
             done = i
         if (number < pieces.count).any():
@@ -117,6 +119,33 @@ def forward(pieces: Pieces, p: np.ndarray, words: np.ndarray) -> np.ndarray:
     return logs + np.log(np.maximum(alpha[length], 1e-300))
 
 
+def forward_one(pieces: Pieces, p: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The same for one word of any length, in bounded memory: a window of the last sums rolls over it."""
+    width, langs = pieces.longest, p.shape[1]
+    window = np.zeros((width, langs))  # the sums at the width places before the next one; the last is the nearest
+    window[-1] = 1
+    logs = np.zeros(langs)
+    for begin in range(0, len(word), CHUNK):
+        part = word[max(0, begin - width + 1) : begin + CHUNK]
+        skip = begin - max(0, begin - width + 1)
+        values, number = _BYTE[part], np.full((len(part), width), pieces.count, np.int64)
+        h = np.zeros(len(part), np.uint64)
+        for d in range(min(width, len(part))):  # pieces of d + 1 bytes, by their last byte
+            h = h[: len(part) - d] * _STEP + values[d:]
+            number[d:, width - 1 - d] = pieces.number(h)
+        use = number < pieces.count
+        for k in range(skip, len(part)):
+            own = np.flatnonzero(use[k])
+            total = (window[own] * p[number[k, own]]).sum(axis=0)
+            window[:-1] = window[1:]
+            window[-1] = total
+            if k % 16 == 0:
+                top = np.maximum(window.max(axis=0), 1e-300)
+                window /= top
+                logs += np.log(top)
+    return logs + np.log(np.maximum(window[-1], 1e-300))
+
+
 def _expected(pieces: Pieces, p: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected uses of every piece in each language."""
     n, length = words.shape
@@ -138,15 +167,13 @@ def _expected(pieces: Pieces, p: np.ndarray, words: np.ndarray, counts: np.ndarr
     return out
 
 
-def _fragments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words for the fit, those beyond FIT_RUN bytes in parts."""
     s, e = split_words(data, offsets, LETTERS)
-    size = e - s
-    if len(size) and size.max() > FRAGMENT:
-        n = -(-size // FRAGMENT)
-        own = np.repeat(np.arange(len(s)), n)
-        s2 = s[own] + FRAGMENT * (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
-        s, e = s2, np.minimum(s2 + FRAGMENT, e[own])
-    return s, e
+    n = -(-(e - s) // FIT_RUN)
+    own = np.repeat(np.arange(len(s)), n)
+    begin = s[own] + FIT_RUN * (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
+    return begin, np.minimum(begin + FIT_RUN, e[own])
 
 
 def _matrices(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -168,13 +195,16 @@ class Model:
 
     def words(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         out = np.empty((len(s), len(self.langs)))
-        for own, m in _matrices(data, s, e):
-            out[own] = forward(self.pieces, self.p, m)
+        brief = np.flatnonzero(e - s <= SHORT)
+        for own, m in _matrices(data, s[brief], e[brief]):
+            out[brief[own]] = forward(self.pieces, self.p, m)
+        for i in np.flatnonzero(e - s > SHORT):
+            out[i] = forward_one(self.pieces, self.p, np.concatenate((np.full(1, 32, np.uint8), LOWER[data[s[i] : e[i]]])))
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text in each language, and its number of words."""
-        s, e = _fragments(data, offsets)
+        s, e = split_words(data, offsets, LETTERS)
         n = np.diff(per_text(s, offsets))
         total = np.zeros((len(n), len(self.langs)))
         if len(s):
@@ -220,7 +250,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: str | Non
         for batch in batches:
             names_of = batch.column(0).to_pylist()
             for i, _, data, offsets in blocks(batch.column(1)):
-                s, e = _fragments(data, offsets)
+                s, e = _cut(data, offsets)
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(per_text(s, offsets)))
                 found: dict[tuple[str, bytes], int] = {}
                 body = LOWER[data].tobytes()

@@ -174,11 +174,13 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = S
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(values[own], pa.int64()), batch.column(0).take(pa.array(doc)), pa.array((own - at[doc]).astype(np.int32))], names=["kind", "key", "row_key", "line"])
 
     hits = hashed.mapInArrow(flagged, "kind int, key long, row_key long, line int").join(keys, ["kind", "key"], "left_semi")
-    gone = hits.groupBy("row_key").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    key, lines, dropped, n_lines = fresh(docs.columns, "row_key", "lines", "dropped", "n_lines")
-    out = docs.withColumn(key, _key()).join(gone.withColumnRenamed("row_key", "right_key"), F.col(key) == F.col("right_key"), "left")
-    out = out.withColumn(lines, F.split("text", "\n", -1)).withColumn(dropped, F.coalesce("gone", F.array().cast("array<int>")))
-    left = F.when(F.size(dropped) == 0, F.col("text")).otherwise(F.array_join(F.filter(F.col(lines), lambda x, i: ~F.array_contains(F.col(dropped), i)), "\n"))
+    key, right, gone, lines, dropped, n_lines = fresh(docs.columns, "row_key", "right_key", "gone", "lines", "dropped", "n_lines")
+    found = hits.groupBy(F.col("row_key").alias(right)).agg(F.sort_array(F.collect_set("line")).alias(gone))
+    out = docs.withColumn(key, _key()).join(found, F.col(key) == F.col(right), "left")
+    out = out.withColumn(lines, F.split("text", "\n", -1)).withColumn(dropped, F.coalesce(gone, F.array().cast("array<int>")))
+    # The lines that stay are the numbers of all without the dropped ones: one pass by hash, however many there are.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
+    left = F.when(F.size(dropped) == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.col(lines)[i]), "\n"))
     return out.select(*[left.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(n_lines), F.col(dropped))
 
 

@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -47,11 +49,55 @@ def released(run):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a local one only where the session names none, as in tests."""
+    """A new path in the shared folder that the session names; a local one only where all runs on one machine, as in tests.
+
+    It is deleted when the innermost scope() ends, or else with the application.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "attestry-scratch")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _scopes:
+        atexit.register(_drop_last, spark)
+        _scopes.append([])
+    _scopes[-1].append(path)
+    return path
+
+
+#: Paths of scratch tables by scope; the first is the application's.
+_scopes: list[list[str]] = []
+
+
+def _drop_last(spark: SparkSession) -> None:
+    try:
+        discard(spark, *_scopes[0])
+    except Exception:  # noqa: BLE001  the JVM went first; what is left is the folder's owner's to clean
+        pass
+    _scopes.clear()
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that come up within are deleted at its end: write the result before, or with kept()."""
+    if not _scopes:
+        atexit.register(_drop_last, spark)
+        _scopes.append([])
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_scopes.pop())
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df stored beyond the scope at hand: in the one around it."""
+    df, path = stored(df, name)
+    if len(_scopes) > 1 and path in _scopes[-1]:
+        _scopes[-1].remove(path)
+        _scopes[-2].append(path)
+    return df
 
 
 def stored(df: DataFrame, name: str, **options: object) -> tuple[DataFrame, str]:
@@ -118,15 +164,18 @@ def named_rows(df: DataFrame) -> DataFrame:
 # --- membership filters of fixed size --------------------------------------------------------------
 
 _FILTER_BITS = 27
+#: Bits at most: 256 MB. Beyond some 10^8 keys most tests are true, and what a filter spares shrinks; results never depend on it.
+_FILTER_MOST = 31
 
 
 class Filter:
-    """A bitmap over the low bits of 64-bit keys: 16 MB whatever their number; true for all keys given, and for few others."""
+    """A bitmap over the low bits of 64-bit keys: 16 bits a key, 16 MB at least; true for all keys given, and for few others."""
 
     def __init__(self, keys: DataFrame, column: str):
-        bit = F.col(column).bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+        size = max(_FILTER_BITS, min(_FILTER_MOST, (16 * keys.count()).bit_length()))
+        bit = F.col(column).bitwiseAND(F.lit((1 << size) - 1))
         words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        bits = np.zeros(1 << (_FILTER_BITS - 6), np.uint64)
+        bits = np.zeros(1 << (size - 6), np.uint64)
         bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
         self.sent = keys.sparkSession.sparkContext.broadcast(bits)
 
@@ -135,7 +184,7 @@ class Filter:
 
     @staticmethod
     def test(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        k = keys.view(np.uint64) & np.uint64((1 << _FILTER_BITS) - 1)
+        k = keys.view(np.uint64) & np.uint64(64 * len(bits) - 1)
         return (bits[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) == 1
 
 

@@ -16,6 +16,7 @@ the offsets of shards come from one sum per shard. A worker's store of encoded p
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -58,8 +59,9 @@ class Encoder:
     spaces and line feeds between other characters, those cuts are found here for whole blocks: at each
     line feed, before each space, and where letters, digits and other signs meet. A stretch between white
     space that holds an apostrophe or a script beyond Latin stays one piece, which the library cuts itself.
-    Any other text, and one with the string of an added token, goes to the library whole. Known pieces are
-    found by a 64-bit hash and their length.
+    Any other text, and one with the string of an added token, goes to the library whole, and so does every
+    text if the tokenizer's file names another pre-tokenizer, a normalizer or a special kind of model. Known
+    pieces are found by a 64-bit hash, and their bytes are compared.
     """
 
     def __init__(self, path: str):
@@ -67,19 +69,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            about = json.load(f)
+        pre = about.get("pre_tokenizer") or {}
+        #: Whether the cuts that plain() finds are those of this tokenizer.
+        self.known = about.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and about["model"].get("type") == "BPE" and not about["model"].get("ignore_merges")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at, self.n, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
+        self.bytes, self.where, self.filled = np.empty(1 << 18, np.uint8), np.empty(0, np.int64), 0
 
     def raw(self, texts: list[str]) -> list[list[int]]:
         # few at once: an encoding takes about 1 KB until its ids are read
         return [e.ids for i in range(0, len(texts), 2_000) for e in self.tokenizer.encode_batch_fast(texts[i : i + 2_000], add_special_tokens=False)]
 
-    def learn(self, keys: np.ndarray, pieces: list[str], size: np.ndarray) -> None:
+    def learn(self, keys: np.ndarray, pieces: list[str], size: np.ndarray, raw: np.ndarray) -> None:
+        """Add pieces with their bytes, one after the other in raw."""
         found = self.raw(pieces)
+        while self.filled + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, np.empty(len(self.bytes), np.uint8)))
+        self.bytes[self.filled : self.filled + len(raw)] = raw
+        begin = self.filled + np.cumsum(size, dtype=np.int64) - size
+        self.filled += len(raw)
         n = np.array([len(x) for x in found], dtype=np.int32)
         flat = np.array([y for x in found for y in x], dtype=np.int32)
         while self.used + len(flat) > len(self.ids):
@@ -88,7 +102,7 @@ class Encoder:
         at = self.used + np.cumsum(n, dtype=np.int64) - n
         self.used += len(flat)
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n, self.size = (np.insert(a, where, b) for a, b in ((self.keys, keys), (self.at, at), (self.n, n), (self.size, size)))
+        self.keys, self.at, self.n, self.size, self.where = (np.insert(a, where, b) for a, b in ((self.keys, keys), (self.at, at), (self.n, n), (self.size, size), (self.where, begin)))
 
     def plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each text can be cut here, and where its pieces begin."""
@@ -129,6 +143,7 @@ class Encoder:
         if not len(data):
             return np.empty(0, np.int32), np.zeros(texts, np.int64)
         ok, starts = self.plain(data, offsets)
+        ok &= self.known
         body = data.tobytes()
         if any(s in body for s in self.special):
             for i in np.flatnonzero(ok):
@@ -148,9 +163,14 @@ class Encoder:
                 self.clear()
                 miss = np.arange(len(known))
             at = first[miss]
-            self.learn(known[miss], [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], size[miss])
+            self.learn(known[miss], [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], size[miss], data[ranges(starts[at], ends[at] - starts[at])])
             i = np.searchsorted(self.keys, known)
         clash = np.flatnonzero(self.size[i] != size) if len(known) else np.empty(0, np.int64)
+        if len(known) and not len(clash):  # one of each is compared; equal hashes within the block too, by their sums of lengths
+            same = self.bytes[ranges(self.where[i], size)] == data[ranges(starts[first], size)]
+            clash = np.flatnonzero(np.add.reduceat(~same, np.cumsum(size) - size))
+            other = (ends - starts) != size[inverse]
+            clash = np.union1d(clash, inverse[other])
         if len(clash):  # two pieces of one hash: their texts go whole
             ok[owner[np.isin(inverse, clash)]] = False
             keep = ok[owner]

@@ -8,15 +8,16 @@ k-th score is carried from leaf to leaf, from shard to shard of a task, and, by
 a small fixed part of the vectors, to all tasks.
 
 Vectors are quantised to floor(scale * x), so scores are exact integers and ties are real: they go to the
-smaller vec_id. Bounds are rounded up by more than their floating-point error.
+smaller vec_id. Bounds are rounded up by more than their floating-point error. Products that doubles don't hold
+exactly are summed as integers of any size.
 
 Defined cases: a vector that is null, or holds a null or non-finite component, takes no part; vectors of
-different lengths are never compared; a null vec_id is no query and no candidate; rows that repeat a vec_id
-are candidates each (but not for the query of that vec_id) and one query; fewer than k candidates give all;
+different lengths are never compared; components saturate at the bounds of long and scores at ``LIMIT``; a null vec_id is no query and no candidate; rows that repeat a vec_id
+are candidates each (but not for the query of that vec_id) and one query, the smallest of its vectors; fewer than k candidates give all;
 an empty table gives an empty result; extra columns are not read.
 
-Scale: one pass over the vectors per block of ``QUERY_BLOCK`` queries, whose size bounds what is broadcast;
-a task sends at most k rows a query, and only scores that reach the shared k-th score.
+Scale: the quantised vectors are stored once; one pass over them per block of ``QUERY_BLOCK`` queries, whose
+size bounds what is broadcast; a task sends at most k rows a query, and only scores that reach the shared k-th score.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ QUERY_BLOCK = 16_384
 #: About so many vectors are searched first for the shared k-th score. Any number gives the same result.
 SEED_ROWS = 4_096
 
-#: Stands for no score; its negation exists.
-NONE = -(1 << 62)
+#: Scores saturate here; NONE stands for no score, and its negation exists.
+LIMIT = 1 << 62
+NONE = -LIMIT - 1
 
 FOUND = "query_id long, vec_id long, score long"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -72,7 +74,7 @@ class BallTree:
                 order[a:b] = order[a:b][side]
                 split += [(a, (a + b) // 2), ((a + b) // 2, b)]
             cuts = split
-        self.ids, self.v = ids[order], v[order]
+        self.ids, self.v, self.order = ids[order], v[order], order
         self.balls = []
         for level in self.levels:
             centers = np.array([self.v[a:b].mean(axis=0) for a, b in level])
@@ -103,8 +105,8 @@ class Best:
         self.score[which], self.ids[which] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def search(tree: BallTree, q_ids: np.ndarray, q: np.ndarray, best: Best) -> int:
-    """Branch and bound; returns the number of (query, leaf) visits."""
+def search(tree: BallTree, q_ids: np.ndarray, q: np.ndarray, best: Best, whole: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+    """Branch and bound; returns the number of (query, leaf) visits. whole: the queries and the tree's vectors as integers, where doubles may not hold them."""
     norms, alive, visits = np.sqrt((q**2).sum(axis=1)), np.ones((len(q), 1), bool), 0
     for centers, radii in tree.balls:  # down the tree: a child lives while its parent and its own bound reach the k-th score
         if len(radii) != alive.shape[1]:
@@ -133,7 +135,8 @@ def search(tree: BallTree, q_ids: np.ndarray, q: np.ndarray, best: Best) -> int:
             if small:
                 score = (q[which] @ tree.v[a:b].T).astype(np.int64)
             else:
-                score = np.array([[sum(int(x) * int(y) for x, y in zip(u, w, strict=True)) for w in tree.v[a:b]] for u in q[which]], dtype=np.int64)
+                us, ws = (whole[0][which].tolist(), whole[1][tree.order[a:b]].tolist()) if whole else (q[which].astype(np.int64).tolist(), tree.v[a:b].astype(np.int64).tolist())
+                score = np.array([[max(-LIMIT, min(LIMIT, sum(x * y for x, y in zip(u, w, strict=True)))) for w in ws] for u in us], dtype=np.int64)
             score[q_ids[which][:, None] == tree.ids[a:b]] = NONE
             best.add(which, score, tree.ids[a:b])
     return visits
@@ -145,8 +148,8 @@ def _searched(vectors: DataFrame, queries: tuple[np.ndarray, np.ndarray, np.ndar
     size = queries[1].shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q, least = sent.value
-        best = Best(len(q), k, least)
+        q_ids, exact, least = sent.value
+        best = Best(len(exact), k, least)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush(all_too: bool) -> None:
@@ -155,11 +158,11 @@ def _searched(vectors: DataFrame, queries: tuple[np.ndarray, np.ndarray, np.ndar
                 held.clear()
                 if len(ids) > SHARD:
                     held.append((ids[SHARD:], v[SHARD:]))
-                search(BallTree(ids[:SHARD], v[:SHARD]), q_ids, q, best)
+                search(BallTree(ids[:SHARD], v[:SHARD].astype(np.float64)), q_ids, exact.astype(np.float64), best, (exact, v[:SHARD]))
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, size)))
+                held.append((batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, size)))
                 flush(False)
         flush(True)
         some = (best.score > NONE) & (best.score >= least[:, None])
@@ -179,7 +182,9 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score); both tables have (vec_id long, v array<long>)."""
     spark = vectors.sparkSession
-    queries = queries.dropDuplicates(["vec_id"]) if queries is not vectors else queries
+    vectors, _ = stored(vectors, "vectors")
+    queries, _ = stored(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    totals = {r["size"]: r["n"] for r in vectors.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length
     counted = queries.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per length
     out = None
     for r in sorted(counted, key=lambda r: r["size"]):
@@ -189,9 +194,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             if not own.num_rows:
                 continue
             ids = own["vec_id"].to_numpy()
-            q = own["v"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), r["size"])
+            q = own["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), r["size"])
             least = np.full(len(ids), NONE)
-            total = vectors.count()
+            total = totals.get(r["size"], 0)
             if total > 2 * SEED_ROWS:
                 part = vectors.filter(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(total // SEED_ROWS)) == 0).coalesce(8)
                 first = _ranked(_searched(part, (ids, q, least), k), k).filter(F.col("rank") == k).select("query_id", "score").toArrow()

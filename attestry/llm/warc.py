@@ -16,11 +16,17 @@ Defined cases: a null html is an empty payload, a null url is the URI "urn:unkno
 records each, with equal ids; line breaks in a URL become %0A and %0D; an empty table gives no records;
 extra columns are not read.
 
-Scale: rows only, no exchange; every expression is built in.
+Scale: making records is rows only, no exchange, and every expression is built in. Reading takes a file per row (2 GB
+at most, Spark's bound for one; WARC files are about 1 GB by convention), whose records stream out in small batches.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
+from collections.abc import Iterator
+from typing import BinaryIO
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,32 +110,76 @@ def write_warc(records: DataFrame, path: str) -> None:
     serialised(records).write.option("lineSep", CRLF * 2).text(path)
 
 
-def parse_warc(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Records of a WARC file's bytes, by their lengths."""
-    out, at = [], 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        n = int(head["Content-Length"])
-        out.append((head, data[end + 4 : end + 4 + n]))
-        at = end + 4 + n + 4
-    return out
+def parse_warc(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of a WARC stream (plain, or gzip as a whole or by record), one at a time: headers by lower-case name, and the block."""
+    buffered = io.BufferedReader(source) if not hasattr(source, "peek") else source
+    if buffered.peek(2)[:2] == b"\x1f\x8b":
+        buffered = gzip.GzipFile(fileobj=buffered)
+    line = buffered.readline()
+    while line:
+        if not line.strip():  # between records
+            line = buffered.readline()
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {line[:40]!r}")
+        head, last = {}, ""
+        while (line := buffered.readline()).strip():
+            text = line.decode("utf-8").rstrip("\r\n")
+            if text[0] in " \t" and last:  # a header goes on
+                head[last] += " " + text.strip()
+            else:
+                last, _, value = text.partition(":")
+                last = last.strip().lower()
+                head[last] = value.strip()
+        n = int(head["content-length"])
+        block = buffered.read(n)
+        if len(block) < n:
+            raise ValueError("a record's block ends early")
+        yield head, block
+        line = buffered.readline()
+
+
+class _Stream(io.RawIOBase):
+    """An Arrow stream, as Python's buffered readers take it."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
+#: Bytes of blocks that make a batch.
+BATCH_BYTES = 8 << 20
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records (RECORD without key) of the WARC files under path."""
+    """Records (RECORD without key) of the WARC files under path, plain or gzip. A block that isn't UTF-8 gets replacement characters; its digest is that of the header."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type", "WARC-Block-Digest", "WARC-Payload-Digest")
+        names = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "warc-block-digest", "warc-payload-digest")
+
+        def made(own):
+            return pa.RecordBatch.from_arrays([*[pa.array([h.get(n) for h, _ in own], pa.string()) for n in names], pa.array([len(b) for _, b in own], pa.int64()), pa.array([b.decode("utf-8", "replace") for _, b in own], pa.string())], names=list(RECORD[1:]))
+
         for batch in batches:
             for content in batch.column(0):
-                records = parse_warc(content.as_py())
-                yield pa.RecordBatch.from_arrays([*[pa.array([h.get(n) for h, _ in records], pa.string()) for n in names], pa.array([len(b) for _, b in records], pa.int64()), pa.array([b.decode("utf-8") for _, b in records], pa.string())], names=list(RECORD[1:]))
+                own, size = [], 0
+                for record in parse_warc(_Stream(pa.BufferReader(content.as_buffer()))):
+                    own.append(record)
+                    size += len(record[1])
+                    if size >= BATCH_BYTES:
+                        yield made(own)
+                        own, size = [], 0
+                if own:
+                    yield made(own)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "type string, record_id string, refers_to string, target string, date string, content_type string, block_digest string, payload_digest string, length long, block string")
 

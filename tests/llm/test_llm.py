@@ -163,6 +163,60 @@ def test_language(spark, empty):
     assert language.identify(empty, language.learn(empty)).count() == 0
 
 
+@have
+def test_language_against_plain_sums(spark):
+    """Every score again by a plain forward sum over bytes; null and repeated ids, rows and labels; a run of 500 bytes."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.learn(table)
+    names = language.public_pieces()
+    prob = {n: model.p[k] for n, k in zip((names[i] for i in model.pieces.order), range(len(names)))}
+    texts = [r["text"] for r in table.limit(12).collect()] + ["z" * 500 + "которые" * 60, "hello", "hello", None, "日本語" * 90, "A b"]
+    rows = [(i if i % 3 else None, t, "x", "clash") for i, t in enumerate(texts)] * 2
+    got = [(r["text"], r["_lang_pred"], r["score"]) for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string"), model).collect()]
+    assert len(got) == len(rows)
+
+    def plain(text):
+        total = np.zeros(len(model.langs))
+        for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode()):
+            w = b" " + bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+            alpha, logs = [np.ones(len(model.langs))], 0
+            for j in range(1, len(w) + 1):
+                alpha.append(sum((alpha[i] * prob[w[i:j]] for i in range(max(0, j - model.pieces.longest), j) if w[i:j] in prob), np.zeros(len(model.langs))))
+                if j % 10 == 0:
+                    top = np.maximum(np.max(alpha[-model.pieces.longest :], axis=0), 1e-300)
+                    alpha = [a / top for a in alpha]
+                    logs = logs + np.log(top)
+            total += logs + np.log(np.maximum(alpha[-1], 1e-300))
+        share = np.exp(total - total.max())
+        return model.langs[int(total.argmax())], (share / share.sum()).max()
+
+    for text, lang, score in got:
+        want = plain(text) if text else ("und", 0.0)
+        assert lang == want[0] and abs(score - want[1]) < 1e-6
+
+
+def test_one_long_word():
+    names = language.public_pieces()
+    pieces = language.Pieces(names)
+    p = np.random.default_rng(1).random((len(names) + 1, 3))
+    p /= p.sum(axis=0)
+    p[-1] = 0
+    w = np.frombuffer((" " + "z" * 30 + "которые" * 40 + "hello" * 20).encode(), np.uint8)
+    assert np.allclose(language.forward(pieces, p, w[None, :])[0], language.forward_one(pieces, p, w))
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e17, 1.0]), (1, [1e17, -3.0]), (2, [-1e17, 2.0]), (3, [2.0**53 / 64 + 2, 1.0]), (4, [1.0, 1e300]), (20, [3.0, 1.0]), (20, [1.0, 1.0]), (5, [1.0, 1.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = [(i, [max(-(1 << 63), min((1 << 63) - 1, int(64 * x))) for x in e]) for i, e in rows]
+    clamp = lambda s: max(-topk.LIMIT, min(topk.LIMIT, s))
+    want = []
+    for q, u in [(0, whole[0][1]), (20, min(whole[5][1], whole[6][1]))]:
+        best = sorted((-clamp(sum(a * b for a, b in zip(u, w))), i) for i, w in whole if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(x) for x in topk.top_k(v, v.filter("vec_id % 20 = 0")).collect()) == sorted(want)
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.Pieces(names := [b" ", b"a", b" a", b"aa", b"b"])
     values = np.array([0.1, 0.2, 0.3, 0.25, 0.15])
@@ -294,8 +348,8 @@ def test_line_templates(spark, docs, empty):
     r = random.Random(2)
     rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(1, 8)))) for i in range(25)] + [(100, None), (101, ""), (102, "one line"), (103, "x " * 4000)]
     want = line_templates.brute_force(rows)
-    d = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, n_lines string")
-    got = {r["doc_id"]: (r["_n_lines"], len(r["dropped"]), r["text"]) for r in line_templates.drop_recurring(d).collect()}
+    d = spark.createDataFrame([(*x, "clash", "clash", "clash") for x in rows], "doc_id long, text string, n_lines string, gone string, right_key string")
+    got = {r["doc_id"]: (r["_n_lines"], len(r["dropped"]), r["text"]) for r in line_templates.drop_recurring(d.unionByName(d.limit(5))).collect()}
     assert {k: (a, b, t or "") for k, (a, b, t) in got.items()} == want and got[100][2] is None
     assert line_templates.drop_recurring(empty).count() == 0
 
@@ -334,16 +388,47 @@ def test_warc_round_trip(spark, tmp_path):
     assert back.count() == 12 and every.drop("key").exceptAll(back).count() == 0
     one = back.filter("type = 'conversion' and target like '%0D%0A%'").first()
     assert one["block"] == "é &lt; b" and one["block_digest"] == "sha1:" + hashlib.sha1(one["block"].encode()).hexdigest()
+    import gzip
+
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "a.gz").write_bytes(b"".join(gzip.compress(f"WARC/1.0\r\nwarc-type:{k}\r\nX-Odd:a\r\n b\r\nCONTENT-LENGTH:  {len(k)}\r\n\r\n{k}\r\n\r\n".encode()) for k in ("one", "three")))
+    assert sorted((x["type"], x["block"]) for x in warc.read_warc(spark, f"file://{tmp_path}/z").collect()) == [("one", "one"), ("three", "three")]
+    none = warc.responses(pages.limit(0).withColumn("block", F.lit("clash")))
+    assert none.count() == 0 and warc.derive(none).count() == 0
+    long = warc.derive(warc.responses(spark.createDataFrame([(1, "u", "<p>" + "ab " * 300_000)], "page_id long, url string, html string"))).filter("type = 'conversion'").first()
+    assert long["block"] == ("ab " * 300_000).strip()
     assert back.filter("type <> 'response'").join(r.select("record_id").withColumnRenamed("record_id", "refers_to"), "refers_to", "left_anti").count() == 0
 
 
+def plain_chat(rows):
+    """{(conv_id, speaker): (text, spans)} by plain Python."""
+    out, convs = {}, {}
+    for c, t, r, x in rows:
+        convs.setdefault(c, []).append((-1 if t is None else t, r or "unknown", x or ""))
+    for c, turns in convs.items():
+        for speaker in {r for _, r, _ in turns}:
+            text, spans = "", []
+            for _, r, x in sorted(turns):
+                text += "<|assistant|>\n" if r == speaker else f"<|user name={r}|>\n"
+                if r == speaker:
+                    spans.append((len(text), len(text) + len(x) + 8))
+                text += x + "<|end|>\n"
+            out[c, speaker] = (text, spans)
+    return out
+
+
 def test_chat(spark):
-    t = spark.createDataFrame([(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 300, "ann", "bye"), (None, None, None, "x"), (2, 0, "a", "s"), (2, 0, "a", "s")], "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["speaker"], r["segment"]): r for r in chat.perspectives(t).collect()}
-    x = got[(1, "bob", 0)]
-    assert x["text"] == "<|user name=ann|>\nhi<|end|>\n<|assistant|>\n<|end|>\n"
-    assert [x["text"][m["begin"] : m["end"]] for m in x["mask"]] == ["<|end|>\n"]
-    assert (1, "bob", 1) in got and (None, "unknown", -1) in got and got[(2, "a", 0)]["n_turns"] == 2
+    r = random.Random(6)
+    rows = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 300, "ann", "bye"), (None, None, None, "x"), (2, 0, "a", "s"), (2, 0, "a", "s"), (3, 0, "long", "é" * 100_000)]
+    rows += [(4, t, r.choice(["ann", "bob", None]), "w" * r.randint(0, 5)) for t in range(600)] + [(5, None, r.choice("ab"), str(r.randint(0, 9))) for _ in range(700)] + [(5, 1, "c", "only here")]
+    t = spark.createDataFrame([(*x, "clash") for x in rows], "conv_id long, turn long, role string, text string, segment string").repartition(5)
+    segments = chat.perspectives(t).collect()
+    assert max(x["n_turns"] for x in segments) <= chat.SEGMENT and sum(x["n_turns"] for x in segments if x["conv_id"] == 5) == 3 * 701
+    want = plain_chat(rows)
+    got = {(x["conv_id"], x["speaker"]): (x["text"], [tuple(m) for m in x["mask"]]) for x in chat.whole(chat.perspectives(t)).collect()}
+    assert got == want
+    for x in segments:
+        assert want[x["conv_id"], x["speaker"]][0][x["begin"] :].startswith(x["text"])
     assert chat.perspectives(t.limit(0)).count() == 0
 
 
