@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, blocks, hash_words, join_measured, keyed, lists, named_rows, per_text, ranges, released, split_words, stored
+from .shared import ALNUM, blocks, hash_words, join_measured, kept, keyed, lists, named_rows, per_text, ranges, released, scope, split_words, stored
 
 WIDTH, SLOP = 13, 26
 #: Windows that are searched at once.
@@ -303,8 +303,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that contain benchmark passages in at least a twentieth of their words."""
     own, part, line = keyed(docs)
-    rows = contamination(own.select("doc_id", "text", F.col(part).alias("part"), F.col(line).alias("line")), benchmark)
-    bad, _ = stored(rows.filter("contaminated").select(F.col("part").alias(part), F.col("line").alias(line)), "contaminated")
+    with scope(docs.sparkSession):
+        rows = contamination(own.select("doc_id", "text", F.col(part).alias("part"), F.col(line).alias("line")), benchmark)
+        bad, _ = kept(rows.filter("contaminated").select(F.col("part").alias(part), F.col("line").alias(line)), "contaminated")
     return join_measured(own, bad, [part, line], "left_anti", bad.count()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, extended
-from .shared import NONSPACE, blocks, discard, hash_words, join_measured, keyed, lists, mix, named_rows, per_text, ranges, released, split_words, stored
+from .shared import NONSPACE, blocks, discard, hash_words, join_measured, kept, keyed, lists, mix, named_rows, per_text, ranges, released, scope, split_words, stored
 
 WORDS = 5
 ORDERS = 3
@@ -496,19 +496,19 @@ def _candidates(pairs: DataFrame) -> DataFrame:
 # --- step 4: verification in rounds ---------------------------------------------------------------------
 
 
-def _linked(candidates: DataFrame, sets: DataFrame, labels: DataFrame, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def _linked(candidates: DataFrame, sets: DataFrame, labels: DataFrame, held: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Labels completed by the candidates: verified in rounds, the pairs that share most first, and none within a component."""
     most = 1
     while True:
         side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
         own = lambda x: F.coalesce(F.col(f"label_{x}"), F.col(x))
-        candidates = kept(candidates.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(own("a") != own("b")).select("a", "b", "c"), "open-pairs")
+        candidates = held(candidates.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(own("a") != own("b")).select("a", "b", "c"), "open-pairs")
         if not candidates.limit(1).count():
             return labels
         # A hot set has many partners; the window of one end is bounded by a WindowGroupLimit below the exchange.
         first = lambda x, y: candidates.withColumn("r", F.row_number().over(Window.partitionBy(x).orderBy(F.col("c").desc(), y))).filter(F.col("r") <= most).select("a", "b")
-        now = kept(first("a", "b").unionByName(first("b", "a")).distinct(), "round")
-        labels = extended(labels, kept(_links(now, sets), "links"))
+        now = held(first("a", "b").unionByName(first("b", "a")).distinct(), "round")
+        labels = extended(labels, held(_links(now, sets), "links"))
         candidates = candidates.join(now, ["a", "b"], "left_anti")
         most *= 8
 
@@ -521,7 +521,7 @@ def near_rows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     trash: list[str] = []
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
+    def held(df: DataFrame, name: str) -> DataFrame:
         df, path = stored(df, name)
         trash.append(path)
         return df
@@ -530,14 +530,14 @@ def near_rows(docs: DataFrame) -> DataFrame:
     rows, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets, homes = max(8, -(-total // BUCKET)), max(4, -(-total // (4 * BUCKET)))
     send = spark.sparkContext.broadcast
-    sets = kept(shared_tokens(docs, send(_frequent(nodes, rows)), send(_copied(nodes)), buckets, homes), "sets")
+    sets = held(shared_tokens(docs, send(_frequent(nodes, rows)), send(_copied(nodes)), buckets, homes), "sets")
     entries = sets.agg(F.sum(F.size("tokens") - F.ceil(F.col("n") * 0.75) + 1)).first()[0] or 0
     lists_ = max(1, -(-entries // LIST_BUCKET))
     meet = lambda labels, stars: _pairs(_prefixes(sets.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")), lists_), lists_, stars)
     labels = spark.createDataFrame([], "node long, label long")
-    labels = components(kept(_links(kept(meet(labels, True).select("a", "b").distinct(), "star-pairs"), sets), "links"))
-    candidates = kept(_candidates(meet(labels, False)), "candidates")
-    labels = _linked(candidates, sets, labels, kept)
+    labels = components(held(_links(held(meet(labels, True).select("a", "b").distinct(), "star-pairs"), sets), "links"))
+    candidates = held(_candidates(meet(labels, False)), "candidates")
+    labels = _linked(candidates, sets, labels, held)
     first = nodes.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("low"))
     own = first.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
     least = own.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -555,10 +555,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the rows that aren't the first of their component: that of the smallest doc_id (null last), of one id the one that is read first. Rows without words stay."""
     own, part, line = keyed(docs)
-    rows, _ = stored(near_rows(own.select("doc_id", "text", F.col(part).alias("part"), F.col(line).alias("line"))).filter(F.col("component").isNotNull()).select("component", "doc_id", "part", "line"), "grouped")
-    rank = F.struct(F.col("doc_id").isNull().alias("open"), "doc_id", "part", "line")
-    first = rows.groupBy("component").agg(F.min(rank).alias("x")).select(F.col("x.part").alias("part"), F.col("x.line").alias("line"))
-    drop, _ = stored(rows.join(first, ["part", "line"], "left_anti").select(F.col("part").alias(part), F.col("line").alias(line)), "near-copies")
+    with scope(docs.sparkSession):
+        rows, _ = stored(near_rows(own.select("doc_id", "text", F.col(part).alias("part"), F.col(line).alias("line"))).filter(F.col("component").isNotNull()).select("component", "doc_id", "part", "line"), "grouped")
+        rank = F.struct(F.col("doc_id").isNull().alias("open"), "doc_id", "part", "line")
+        first = rows.groupBy("component").agg(F.min(rank).alias("x")).select(F.col("x.part").alias("part"), F.col("x.line").alias("line"))
+        drop, _ = kept(rows.join(first, ["part", "line"], "left_anti").select(F.col("part").alias(part), F.col("line").alias(line)), "near-copies")
     return join_measured(own, drop, [part, line], "left_anti", drop.count()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -566,6 +567,28 @@ def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' ')) END) AS tokens FROM w
+), t AS (
+  SELECT r, unnest(tokens) AS token FROM s
+), met AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS shared FROM t a JOIN t b ON a.token = b.token AND a.r < b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT a, b FROM met JOIN s x ON a = x.r JOIN s y ON b = y.r WHERE 100 * shared >= 75 * (len(x.tokens) + len(y.tokens) - shared)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT r, r AS o FROM s UNION SELECT reach.r, b FROM reach JOIN edges ON o = a
+)
+SELECT any_value(s.doc_id) AS doc_id, any_value(len(s.tokens))::BIGINT AS n_shingles, min(y.doc_id) AS component_id
+FROM reach JOIN s ON s.r = reach.r JOIN s y ON y.r = o GROUP BY s.r
+"""
+
+
 def brute_force(docs: list[tuple]) -> dict:
     """The same by plain Python, for tests: {doc_id: (n_shingles, component_id)}."""
     import re

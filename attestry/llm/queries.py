@@ -21,6 +21,7 @@ ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_chat_perspectives": chat.ORACLE,
+    "op4_ngram_jaccard": jaccard.ORACLE,
     "op6_top_k": topk.ORACLE,
     "op8_warc_derivatives": warc.ORACLE,
     "op9_license_scan": licenses.ORACLE,

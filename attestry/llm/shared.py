@@ -91,13 +91,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
         discard(spark, *_scopes.pop())
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df stored beyond the scope at hand: in the one around it."""
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df stored beyond the scope at hand, in the one around it; and its path."""
     df, path = stored(df, name)
-    if len(_scopes) > 1 and path in _scopes[-1]:
+    if len(_scopes) > 1:
         _scopes[-1].remove(path)
         _scopes[-2].append(path)
-    return df
+    return df, path
 
 
 def stored(df: DataFrame, name: str, **options: object) -> tuple[DataFrame, str]:

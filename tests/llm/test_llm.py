@@ -163,35 +163,43 @@ def test_language(spark, empty):
     assert language.identify(empty, language.learn(empty)).count() == 0
 
 
+def plain_language(model, prob, text, known={}):  # noqa: B006  sums of words are kept between calls
+    """(language, posterior) by a plain forward sum over the bytes of each word."""
+    total = np.zeros(len(model.langs))
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode()):
+        w = b" " + bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+        if (id(model), w) not in known:
+            alpha, logs = [np.ones(len(model.langs))], 0
+            for j in range(1, len(w) + 1):
+                alpha.append(sum((alpha[i] * prob[w[i:j]] for i in range(max(0, j - model.pieces.longest), j) if w[i:j] in prob), np.zeros(len(model.langs))))
+                if j % 10 == 0:
+                    top = np.maximum(np.max(alpha[-model.pieces.longest :], axis=0), 1e-300)
+                    alpha = [a / top for a in alpha]
+                    logs = logs + np.log(top)
+            known[id(model), w] = logs + np.log(np.maximum(alpha[-1], 1e-300))
+        total += known[id(model), w]
+    share = np.exp(total - total.max())
+    return model.langs[int(total.argmax())], (share / share.sum()).max()
+
+
+def probabilities(model):
+    names = language.public_pieces()
+    return {names[i]: model.p[k] for k, i in enumerate(model.pieces.order)}
+
+
 @have
 def test_language_against_plain_sums(spark):
     """Every score again by a plain forward sum over bytes; null and repeated ids, rows and labels; a run of 500 bytes."""
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = language.learn(table)
-    names = language.public_pieces()
-    prob = {n: model.p[k] for n, k in zip((names[i] for i in model.pieces.order), range(len(names)))}
+    prob = probabilities(model)
     texts = [r["text"] for r in table.limit(12).collect()] + ["z" * 500 + "которые" * 60, "hello", "hello", None, "日本語" * 90, "A b"]
     rows = [(i if i % 3 else None, t, "x", "clash") for i, t in enumerate(texts)] * 2
     got = [(r["text"], r["_lang_pred"], r["score"]) for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string"), model).collect()]
     assert len(got) == len(rows)
 
-    def plain(text):
-        total = np.zeros(len(model.langs))
-        for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode()):
-            w = b" " + bytes(b + 32 if 65 <= b <= 90 else b for b in w)
-            alpha, logs = [np.ones(len(model.langs))], 0
-            for j in range(1, len(w) + 1):
-                alpha.append(sum((alpha[i] * prob[w[i:j]] for i in range(max(0, j - model.pieces.longest), j) if w[i:j] in prob), np.zeros(len(model.langs))))
-                if j % 10 == 0:
-                    top = np.maximum(np.max(alpha[-model.pieces.longest :], axis=0), 1e-300)
-                    alpha = [a / top for a in alpha]
-                    logs = logs + np.log(top)
-            total += logs + np.log(np.maximum(alpha[-1], 1e-300))
-        share = np.exp(total - total.max())
-        return model.langs[int(total.argmax())], (share / share.sum()).max()
-
     for text, lang, score in got:
-        want = plain(text) if text else ("und", 0.0)
+        want = plain_language(model, prob, text) if text else ("und", 0.0)
         assert lang == want[0] and abs(score - want[1]) < 1e-6
 
 
@@ -447,16 +455,46 @@ def test_sql(spark, name):
 
 @have
 def test_pipeline(spark):
+    """run() against plain versions of every stage; mixing by its SQL, ids by the library."""
     import corpus_pipeline as p
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    kept = {r["doc_id"] for r in language.keep_identified(docs).collect()}
-    one = {d for d, x in jaccard.brute_force([(d, t) for d, t in rows.items() if d in kept]).items() if x[1] == d}
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = language.learn(docs)
+    prob = probabilities(model)
+    letter = lambda t: any(c.isalpha() for c in t or "")
+    kept = [d for d, r in rows.items() if letter(r["text"]) and plain_language(model, prob, r["text"])[1] >= 0.5]
+    one = [d for d, x in jaccard.brute_force([(d, rows[d]["text"]) for d in kept]).items() if x[1] == d]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    clean = {d for d, x in decontaminate.brute_force([(d, rows[d]) for d in one], items).items() if not x[4]}
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix_plan(docs.filter(docs["doc_id"].isin(list(clean)))).collect()}
-    got = {}
-    for r in p.run(spark, SF).collect():
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
-    assert got == {d: n for d, n in copies.items() if n}
+    clean = {d for d, x in decontaminate.brute_force([(d, rows[d]["text"]) for d in one], items).items() if not x[4]}
+    c = duckdb.connect()
+    c.execute(f"CREATE TABLE documents AS SELECT * FROM '{SF}/documents.parquet' WHERE list_contains(?, doc_id)", [sorted(clean)])
+    copies = {d: taken // size if size else 0 for d, size, _, _, taken in c.execute(mixing.ORACLE).fetchall()}
+    code, start, want = Tokenizer.from_file(token_files.public_vocabulary()), 0, []
+    for d in sorted(clean):
+        ids = [*code.encode(rows[d]["text"], add_special_tokens=False).ids, 0]
+        for _ in range(copies[d]):
+            want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+    assert sorted(map(tuple, p.run(spark, SF).collect())) == want
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Null, empty and repeated rows and ids, clashing names and empty tables go through every stage."""
+    import corpus_pipeline as p
+
+    text = "the quick brown fox jumps over the lazy dog and then it goes home to sleep for the night"
+    rows = [(1, text, "en", "s"), (1, text, "en", "s"), (None, text, None, None), (2, None, "en", "s"), (3, "", None, "s"), (None, None, None, None), (4, "wo ist der Hund und was macht er heute", "de", None), (5, "x " * 5000, "en", "s")]
+    spark.createDataFrame([(*x, 1, "clash", "clash", "clash") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, row_part string, size string, lang_pred string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such passage anywhere"), (None, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    table = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for docs in (table, table.limit(0)):
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, f"file://{tmp_path}")
+            if name != "token_files":
+                assert out.columns == docs.columns
+            path = f"file://{tmp_path}/{name}-{docs is table}-{out.count()}"
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+    assert shared.scratch(spark, "x") and len(shared._scopes) == 1
