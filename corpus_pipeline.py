@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, _ = shared.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with shared.scope(spark):
+            docs, path = shared.kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            shared.discard(spark, last)
+        last = path
     return docs
