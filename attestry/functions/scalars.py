@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,8 +26,9 @@ def tidy(text: Column, most: int = 256) -> Column:
 
 
 def is_placeholder(value: Column) -> Column:
+    """Whether a value stands for none: blank, one of the usual words, or zeros alone."""
     v = F.lower(F.trim(value))
-    return v.isin("", "n/a", "na", "none", "null", "unknown", "-") | v.rlike("^0+$")
+    return v.isin("", "n/a", "na", "none", "unknown", "null", "-", "--") | v.rlike("^0+$")
 
 
 def says(value: Column) -> Column:
@@ -46,14 +48,20 @@ def first_needle(haystack: Column, needles: list[str]) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(n.lower())), n) for n in needles])
 
 
-def gps_decimal(d: Column, m: Column, s: Column, ref: Column) -> Column:
-    v = d + m / F.lit(60.0) + s / F.lit(3600.0)
-    return F.when(F.upper(ref).isin("S", "W"), -v).otherwise(v)
+def gps_degrees(d: Column, m: Column, s: Column) -> Column:
+    return d.cast("double") + m.cast("double") / F.lit(60.0) + s.cast("double") / F.lit(3600.0)
+
+
+def gps_text(lat: Column, lat_ref: Column, lon: Column, lon_ref: Column) -> Column:
+    """Decimal degrees with their letters; null unless both are numbers, and for 0, 0 (a camera without a fix writes that)."""
+    letter = lambda r: F.when(F.substring(r, 1, 1).rlike("^[A-Za-z]$"), F.concat(F.lit(" "), F.substring(r, 1, 1))).otherwise("")
+    fits = ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) < float("inf")) & (F.abs(lon) < float("inf")) & ~((lat == 0) & (lon == 0))
+    return F.when(fits, F.concat(F.format_string("%.5f", lat), letter(lat_ref), F.lit(", "), F.format_string("%.5f", lon), letter(lon_ref)))
 
 
 def serial_hex(raw: Column) -> Column:
-    """Lower-case hexadecimal without leading zero bytes; one byte stays."""
-    return F.regexp_replace(F.lower(F.hex(raw)), "^(?:00)+(?=[0-9a-f]{2})", "")
+    """Upper-case hexadecimal without leading zero bytes; one byte stays."""
+    return F.regexp_replace(F.hex(raw), "^(?:00)+(?=[0-9A-F]{2})", "")
 
 
 def thousands(n: Column) -> Column:
@@ -61,14 +69,38 @@ def thousands(n: Column) -> Column:
 
 
 def version_lt(a: Column, b: Column) -> Column:
-    """Dotted versions compared number by number; what isn't a number counts as 0, missing parts too."""
-    parts = lambda x: F.transform(F.split(x, r"\."), lambda p: F.coalesce(F.expr("try_cast(null as int)") if p is None else p.try_cast("long"), F.lit(0)))
+    """Versions compared part by part, parts being cut at dots, dashes and plus signs; what isn't a number counts as 0, missing parts too."""
+    parts = lambda x: F.transform(F.split(x, r"[.+-]"), lambda p: F.when(p.rlike("^[0-9]+$"), F.coalesce(p.try_cast("long"), F.lit(0))).otherwise(F.lit(0).cast("long")))
     pa, pb = parts(a), parts(b)
     n = F.greatest(F.size(pa), F.size(pb))
     pad = lambda x: F.concat(x, F.array_repeat(F.lit(0).cast("long"), (n - F.size(x)).cast("int")))
     return pad(pa) < pad(pb)
 
 
+def without_prefix(raw: Column, prefix: str) -> Column:
+    """The trimmed text without the prefix, which is taken off once and only if it stands there exactly."""
+    t = F.trim(raw)
+    return F.when(F.startswith(t, F.lit(prefix)), F.substr(t, F.lit(len(prefix) + 1))).otherwise(t)
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 in hexadecimal, of the message's UTF-8 bytes."""
+    block = hashlib.sha256(key).digest() if len(key) > 64 else key
+    pad = lambda x: F.lit(bytes(b ^ x for b in block.ljust(64, b"\0")))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def signal_label(label: Column) -> Column:
+    """A label without the number that tells synthetic nodes apart."""
+    return F.regexp_replace(label, r"_[0-9]+$", "")
+
+
+def decoded(text: Column) -> Column:
+    """The bytes of a base64 text, null if it is none."""
+    return F.when(text.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"), F.unbase64(text))
+
+
 def rfc3339(seconds: Column) -> Column:
     """UTC time text of Unix seconds (session time zone UTC)."""
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -85,28 +117,26 @@ def remote_url_problem(url: Column) -> Column:
     )
 
 
-#: (magic bytes in hexadecimal, offset from 1, modality, media type), first match wins. Fixed values.
-MAGIC = [
-    ("FFD8FF", 1, "image", "image/jpeg"),
-    ("89504E470D0A1A0A", 1, "image", "image/png"),
-    ("47494638", 1, "image", "image/gif"),
-    ("57454250", 9, "image", "image/webp"),
-    ("57415645", 9, "audio", "audio/wav"),
-    ("66747970", 5, "video", "video/mp4"),
-    ("494433", 1, "audio", "audio/mpeg"),
-    ("664C6143", 1, "audio", "audio/flac"),
-    ("4F676753", 1, "audio", "audio/ogg"),
-    ("1A45DFA3", 1, "video", "video/webm"),
-    ("25504446", 1, "text", "application/pdf"),
-]
-HEIF_BRANDS = ["heic", "heix", "hevc", "heim", "heis", "mif1", "msf1", "avif"]
+#: (bytes in hexadecimal, offset from 1, modality, media type) of formats told by one stretch, and by the brand or form at byte 9. Fixed values.
+MAGIC = [("FFD8FF", "image", "image/jpeg"), ("89504E470D0A1A0A", "image", "image/png")]
+RIFF = [("WEBP", "image", "image/webp"), ("WAVE", "audio", "audio/wav")]
+BRANDS = ["heic", "heix", "mif1", "avif"]
 
 
 def sniff(content: Column) -> Column:
-    """struct(modality, mime) by leading bytes, null if none fits; a file name is never used."""
-    brand = F.decode(F.substring(content, 9, 4), "US-ASCII")
-    heif = (F.hex(F.substring(content, 5, 4)) == "66747970") & brand.isin(*HEIF_BRANDS)
+    """struct(modality, mime) by leading bytes, null if none fits; a file name is never used. The order of the rules matters."""
     both = lambda m, t: F.struct(F.lit(m).alias("modality"), F.lit(t).alias("mime"))
-    rules = [(heif, both("image", "image/heif")), *[(F.hex(F.substring(content, at, len(x) // 2)) == x, both(m, t)) for x, at, m, t in MAGIC]]
-    rules.append((F.hex(F.substring(content, 1, 2)).rlike("^FF[EF]"), both("audio", "audio/mpeg")))
+    at = lambda begin, n: F.hex(F.substring(content, begin, n))
+    text = lambda x: x.encode().hex().upper()
+    long = F.octet_length(content) > 12
+    form, brand = at(9, 4), at(5, 4) == text("ftyp")
+    rules = [(at(1, len(x) // 2) == x, both(m, t)) for x, m, t in MAGIC]
+    rules += [(long & (at(1, 4) == text("RIFF")) & (form == text(x)), both(m, t)) for x, m, t in RIFF]
+    rules += [
+        (at(1, 4) == text("fLaC"), both("audio", "audio/flac")),
+        ((at(1, 3) == text("ID3")) | at(1, 2).rlike("^FF[EF]"), both("audio", "audio/mpeg")),
+        (long & brand & form.isin(*map(text, BRANDS)), both("image", "image/heif")),
+        (long & brand, both("video", "video/mp4")),
+        (at(1, 4) == "1A45DFA3", both("video", "video/webm")),
+    ]
     return reduce(lambda acc, r: acc.when(*r), rules[1:], F.when(*rules[0]))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LAYERS = ("manifest", "container", "mark", "blind")
 STATUSES = ("present", "absent", "inconclusive", "not_applicable")
@@ -22,14 +24,50 @@ class Source:
     assess: Callable[[], Column]
 
 
-def inspect(assets: DataFrame, sources: list[Source], key: str, only: tuple[str, ...] = LAYERS) -> DataFrame:
+def python_source(name: str, layer: str, applies: Callable[[], Column], value: Callable[[], Column], run: Callable[[object], tuple[str, str | None]]) -> Source:
+    """A source in Python: run gets the value and returns (status, details). What it raises becomes an inconclusive status with the error's text, and never ends the job."""
+
+    def one(x: object) -> tuple[str, str | None]:
+        try:
+            return run(x)
+        except Exception as e:  # noqa: BLE001  whatever a source raises is its evidence
+            return "inconclusive", f"source failed: {e}"
+
+    def each(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in values], columns=["status", "details"], dtype=object)
+
+    return Source(name, layer, applies, lambda: F.pandas_udf(each, "status string, details string")(value()))
+
+
+def _assessed(s: Source, frame: DataFrame) -> Column:
+    """assess as struct(status, details), whichever of the two it gives."""
+    column = s.assess()
+    kind = frame.select(column.alias("x")).schema["x"].dataType
+    if isinstance(kind, T.StructType):
+        return F.struct(F.coalesce(column["status"], F.lit("inconclusive")).alias("status"), column["details"].cast("string").alias("details"))
+    return F.struct(F.coalesce(column, F.lit("inconclusive")).alias("status"), F.lit(None).cast("string").alias("details"))
+
+
+def ordered(sources: list[Source], only: tuple[str, ...] = LAYERS) -> list[Source]:
+    """The sources of the wanted layers, by layer; those of one layer as they were given."""
+    return sorted((s for s in sources if s.layer in only), key=lambda s: LAYERS.index(s.layer))
+
+
+def listing(spark, sources: list[Source]) -> DataFrame:
+    return spark.createDataFrame([(LAYERS.index(s.layer), s.layer, s.name) for s in ordered(sources)], "layer_ord int, layer string, source string")
+
+
+def inspect(assets: DataFrame, sources: list[Source], key: str, only: tuple[str, ...] = LAYERS, details: bool = False) -> DataFrame:
     """Long evidence rows. Sources are pruned before the plan is built; all are expressions of one pass over the assets."""
-    wanted = sorted((s for s in sources if s.layer in only), key=lambda s: LAYERS.index(s.layer))
+    wanted = ordered(sources, only)
+    none = F.struct(F.lit("not_applicable").alias("status"), F.lit(None).cast("string").alias("details"))
+    found = {f"source_{i}": F.when(F.coalesce(s.applies(), F.lit(False)), _assessed(s, assets)).otherwise(none) for i, s in enumerate(wanted)}
     row = lambda i, s: F.struct(
         F.lit(LAYERS.index(s.layer)).alias("layer_ord"), F.lit(i).alias("source_ord"), F.lit(s.layer).alias("layer"), F.lit(s.name).alias("source"),
-        F.when(F.coalesce(s.applies(), F.lit(False)), F.coalesce(s.assess(), F.lit("inconclusive"))).otherwise("not_applicable").alias("status"),
+        F.col(f"source_{i}.status").alias("status"), *([F.col(f"source_{i}.details").alias("details")] if details else []),
     )
-    return assets.select(key, F.explode(F.array(*[row(i, s) for i, s in enumerate(wanted)])).alias("e")).select(key, "e.*")
+    each = assets.select(key, *[c.alias(n) for n, c in found.items()])
+    return each.select(key, F.explode(F.array(*[row(i, s) for i, s in enumerate(wanted)])).alias("e")).select(key, "e.*")
 
 
 def summary(evidence: DataFrame, key: str) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import formula as J
@@ -14,24 +12,7 @@ from ..operators import compare as X
 from ..operators import evidence as E
 from ..operators import intervals as I
 from ..operators import lineage as L
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLES, QUERIES, query, table
 
 # --- scans and scalar functions ----------------------------------------------------------------
 
@@ -89,10 +70,9 @@ def remote_url_check(spark, d):
     return table(spark, d, "pages").select("page_id", S.remote_url_problem(F.col("url")).alias("problem"))
 
 
-@query("SELECT event_id, strftime(to_timestamp(event_id * 86399), '%Y-%m-%dT%H:%M:%SZ') AS at, lower(hex(event_id)) AS serial FROM (SELECT event_id FROM events WHERE event_id > 15)")
+@query("SELECT event_id, strftime(to_timestamp(event_id * 86399), '%Y-%m-%dT%H:%M:%SZ') AS at, printf('%x', event_id) AS serial FROM events")
 def time_text(spark, d):
-    e = table(spark, d, "events").filter("event_id > 15")
-    return e.select("event_id", S.rfc3339(F.col("event_id") * 86399).alias("at"), F.lower(F.hex("event_id")).alias("serial"))
+    return table(spark, d, "events").select("event_id", S.rfc3339(F.col("event_id") * 86399).alias("at"), F.lower(F.hex("event_id")).alias("serial"))
 
 
 # --- evidence -------------------------------------------------------------------------------------
@@ -250,15 +230,16 @@ def rule_first_match(spark, d):
     return X.first_rule(table(spark, d, "part"), "p_partkey", [("large", F.col("p_size") > 40), ("costly", F.col("p_retailprice") > 1500), ("first brands", F.col("p_brand").endswith("1"))])
 
 
-@query("SELECT doc_id FROM documents WHERE lower(trim(text)) IN (SELECT lower(trim(text)) FROM benchmark)")
+@query(r"""WITH d AS (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(trim(text)), '\n+'))) AS line FROM documents), l AS (SELECT DISTINCT line FROM d WHERE doc_id % 2 = 0) SELECT DISTINCT doc_id FROM d WHERE doc_id % 2 = 1 AND line IN (SELECT line FROM l)""")
 def contamination_semi(spark, d):
-    k = F.lower(F.trim("text"))
-    return table(spark, d, "documents").withColumn("k", k).join(table(spark, d, "benchmark").select(k.alias("k")), "k", "left_semi").select("doc_id")
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower(F.trim("text")), "\n+"))).alias("line")).select("doc_id", F.sha2("line", 256).alias("k"))
+    return lines.filter("doc_id % 2 = 1").join(lines.filter("doc_id % 2 = 0").select("k"), "k", "left_semi").select("doc_id").distinct()
 
 
-@query("SELECT doc_id FROM documents WHERE lower(trim(text)) NOT IN (SELECT lower(trim(text)) FROM benchmark WHERE text IS NOT NULL)")
+@query("SELECT doc_id FROM documents WHERE text IS NULL OR lower(trim(text)) NOT IN (SELECT lower(trim(text)) FROM benchmark WHERE text IS NOT NULL)")
 def clean_anti(spark, d):
-    k = F.lower(F.trim("text"))
+    """A null text equals no benchmark text, so its document stays."""
+    k = F.sha2(F.lower(F.trim("text")), 256)
     return table(spark, d, "documents").withColumn("k", k).join(table(spark, d, "benchmark").select(k.alias("k")), "k", "left_anti").select("doc_id")
 
 
@@ -319,9 +300,9 @@ def snapshot_diff(spark, d):
     return X.snapshot_changes(old, new, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
-@query("""(SELECT c_custkey AS k, 'left' AS side FROM customer EXCEPT SELECT o_custkey, 'left' FROM orders) UNION ALL (SELECT o_custkey, 'right' FROM orders EXCEPT SELECT c_custkey, 'right' FROM customer)""")
+@query("""(SELECT c_custkey AS k, 'left' AS side FROM customer EXCEPT SELECT o_custkey * 2 + 7, 'left' FROM orders) UNION ALL (SELECT o_custkey * 2 + 7, 'right' FROM orders EXCEPT SELECT c_custkey, 'right' FROM customer)""")
 def symmetric_difference(spark, d):
-    return X.symmetric_difference(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")))
+    return X.symmetric_difference(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select((F.col("o_custkey") * 2 + 7).alias("k")))
 
 
 # --- intervals and lineage ------------------------------------------------------------------------
@@ -378,7 +359,7 @@ def json_field(spark, d):
 @query("SELECT user_id, count(*) FILTER (WHERE (props->>'$.k')::INTEGER >= 50)::INTEGER AS n FROM events GROUP BY 1")
 def json_filter_len(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, d, "events").groupBy("user_id").agg(F.size(F.filter(F.collect_list(k), lambda x: x >= 50)).alias("n"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(k >= 50).cast("int").alias("n"))
 
 
 @query("SELECT l_orderkey, string_agg(l_returnflag || ',' || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS flat, (2 * count(*))::INTEGER AS n FROM lineitem GROUP BY 1")
@@ -444,3 +425,7 @@ def formula_statements(spark, d):
     rules = {"large": "k > `50`", "listed": "[@][? k == `42`]", "both": "[k, $low][? @ > `0`]", "divided": "k / `0`", "helped": "between(k, `10`, `20`)"}
     rows = J.statements(table(spark, d, "events"), "event_id", "props", rules, {"$low": 1}, {"between": "$args[0] >= $args[1] && $args[0] < $args[2]"})
     return rows.groupBy("statement").agg(F.count_if("fires").alias("fired"), F.count_if("multiple").alias("multiple"), F.count("error").alias("failed"))
+
+
+# The other modules of queries register themselves.
+from . import containers, formulas, manifests, runs  # noqa: E402, F401

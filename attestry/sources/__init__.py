@@ -1 +1 @@
-"""Readers of assets and container formats."""
+"""Files and containers read into assets and their parts."""

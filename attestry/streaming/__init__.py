@@ -1 +1 @@
-"""Streaming ingestion."""
+"""Assets and evidence over streams of files."""
