@@ -69,7 +69,6 @@ def _numbered(turns: DataFrame) -> DataFrame:
 def perspectives(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(conv_id, speaker, segment, begin, n_turns, text, mask): begin is the first character's place in the whole rendering, mask an array of [begin, end) spans of it to learn."""
     t = _numbered(turns).withColumn("segment", F.floor(F.col("place") / segment).cast("long"))
-    t, _ = stored(t, "placed")
     # A row per segment and role: what the segment's text is longer or shorter for that speaker.
     named = F.length("role") + len(_USER) + len(_NAMED)
     per = t.groupBy("conv_id", "segment", "role").agg(F.sum(named + F.length("text") + len(_END)).alias("size"), F.sum(F.lit(len(_OWN)) - named).alias("more"))
