@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,8 +58,9 @@ def longest_prefix(files: DataFrame, name: Column, prefixes: DataFrame, prefix:
 
 def baseline_fate(rows: DataFrame, key: str, order: str, kind: Column) -> DataFrame:
     """Each row's kind against that of its key's first row: kept, lost, gained, changed or none."""
-    w = Window.partitionBy(key).orderBy(order)
-    x = rows.withColumn("kind", kind).withColumn("base", F.first("kind").over(w)).withColumn("r", F.row_number().over(w)).filter(F.col("r") > 1)
+    own = rows.withColumn("kind", kind)
+    first = own.groupBy(F.col(key).alias("base_key")).agg(F.min_by("kind", order).alias("base"), F.min(order).alias("base_at"))
+    x = own.join(first, F.col(key) == F.col("base_key")).filter(F.col(order) > F.col("base_at"))
     fate = F.when(F.col("base").isNull() & F.col("kind").isNull(), "none").when(F.col("base").isNull(), "gained").when(F.col("kind").isNull(), "lost").when(F.col("base") == F.col("kind"), "kept").otherwise("changed")
     return x.withColumn("fate", fate)
 

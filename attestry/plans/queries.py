@@ -12,6 +12,7 @@ from ..operators import compare as X
 from ..operators import evidence as E
 from ..operators import intervals as I
 from ..operators import lineage as L
+from ..operators import rubrics as B
 from .registry import ORACLES, QUERIES, query, table
 
 # --- scans and scalar functions ----------------------------------------------------------------
@@ -182,8 +183,9 @@ def threshold_at_fpr(spark, d):
   SELECT source, toxic, count(*) AS n, avg(CASE WHEN v >= t THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate FROM j, t GROUP BY ALL""")
 def tpr_fpr_by_class(spark, d):
     j = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("v")).join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
-    t = C.threshold_at_fpr(j.filter("toxic = 0").withColumn("all", F.lit(1)), ["all"], "v", 0.05).select("threshold")
-    return j.join(F.broadcast(t)).groupBy("source", "toxic").agg(F.count(F.lit(1)).alias("n"), C.rate_at(F.col("v"), F.col("threshold")).alias("rate"))
+    found = C.threshold_at_fpr(j.filter("toxic = 0").withColumn("all", F.lit(1)), ["all"], "v", 0.05).first()  # one row
+    at = F.lit(found["threshold"] if found else float("inf"))
+    return j.groupBy("source", "toxic").agg(F.count(F.lit(1)).alias("n"), C.rate_at(F.col("v"), at).alias("rate"))
 
 
 @query("SELECT event_type, max(CASE WHEN r = n // 2 + 1 THEN value END) AS upper_median, max(n) AS n FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1")
@@ -385,24 +387,67 @@ def json_arith_broadcast(spark, d):
 
 # --- rubrics on conversations ------------------------------------------------------------------------
 
-_RUBRIC_SQL = """WITH c AS (SELECT conv_id, count(*) AS n, bool_or(role = 'system') AS sys, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY 1)"""
+_RUBRIC = B.rubric([
+    {"rubric_metadata": {"name": "talk", "version": "1"}, "variables": {"$many": 4}, "expressions": {"by": "manifests[?role == $args[0]]"}},
+    [
+        {"id": "quality:answered", "expression": 'length(by("assistant")) >= length(by("user"))', "reportText": {"true": {"en": "all answered"}, "false": {"en": "open"}}},
+        {"id": "quality:long", "expression": "if(length(manifests) > $many, manifests[4:].label, `[]`)", "warnIfMatched": True, "reportText": {"true": {"en": "short"}, "warn": {"en": "beyond: {{matches}}"}}},
+        {"id": "no_system", "expression": 'by("system")[*].label', "failIfMatched": True, "reportText": {"true": {"en": "none"}, "false": {"en": "has {{matches}}"}}},
+        {"id": "signers", "expression": 'by("user")', "reportText": {"true": {"en": "signed"}, "false": {"en": "unsigned"}}},
+        {"id": "broken", "expression": "length(manifests) / `0`"},
+    ],
+])
+_SIGNALS = B.rubric([
+    {"rubric_metadata": {"name": "signs", "version": "2"}},
+    [
+        {"id": "inception:made", "expression": "assertions.'c2pa.actions.v2'.actions[?action == \"c2pa.created\"]", "reportText": {"true": {"en": "made"}}},
+        {"id": "transformation:said", "expression": 'role == "assistant"'},
+        {"id": "other", "expression": "`true`"},
+    ],
+])
 
 
 def _documents(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("role") == "system").alias("sys"), F.count_if(F.col("role") == "user").alias("u"), F.count_if(F.col("role") == "assistant").alias("a"))
+    """A document per conversation: turns are manifests, each the ingredient of the next; every third has an ingredient without a manifest."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    label = lambda i: F.concat(F.lit("urn:c2pa:m"), i.cast("string"))
+    link = lambda i: F.struct(F.struct(F.concat(F.lit("self#jumbf=/c2pa/"), label(i - 1), F.lit("/claim")).alias("url")).alias("activeManifest"), F.lit("parentOf").alias("relationship"))
+    flat = F.struct(F.lit("componentOf").alias("relationship"), F.lit("a b").alias("dc:title"), F.lit("x").alias("digitalSourceType"))
+    manifest = lambda x, i: F.struct(
+        label(i).alias("label"), x["role"].alias("role"), F.struct(F.lit("text/plain").alias("dc:format")).alias("claim"), F.struct(F.struct(F.struct(x["role"].alias("CN")).alias("subject")).alias("certificateInfo")).alias("signature"),
+        F.struct(F.when(i > 0, link(i)).alias("c2pa.ingredient.v3"), F.when(i % 3 == 2, flat).alias("c2pa.ingredient.v3__1")).alias("assertions"),
+    )
+    x = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    return x.select("conv_id", F.to_json(F.struct(F.transform("turns", manifest).alias("manifests"))).alias("doc"))
 
 
-@query(_RUBRIC_SQL + """ SELECT conv_id, concat_ws(',', CASE WHEN sys THEN 'has_system' END, CASE WHEN n > 4 THEN 'long' END, CASE WHEN u > 1 THEN 'follow_up' END) AS fired FROM c""")
-def rubric_signals(spark, d):
-    return _documents(spark, d).select("conv_id", F.concat_ws(",", F.when(F.col("sys"), "has_system"), F.when(F.col("n") > 4, "long"), F.when(F.col("u") > 1, "follow_up")).alias("fired"))
+_TURNS_SQL = """WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations),
+c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, string_agg('urn:c2pa:m' || i, ', ' ORDER BY i) FILTER (i >= 4) AS beyond, string_agg('urn:c2pa:m' || i, ', ' ORDER BY i) FILTER (role = 'system') AS sys FROM t GROUP BY 1)"""
 
 
-@query(_RUBRIC_SQL + """, s AS (SELECT 'answered' AS trait, CASE WHEN a >= u THEN 'met' ELSE 'not_met' END AS outcome FROM c UNION ALL SELECT 'system', CASE WHEN sys THEN 'met' ELSE 'warning' END FROM c)
-  SELECT trait, count(*) FILTER (WHERE outcome = 'met') AS met, count(*) FILTER (WHERE outcome = 'warning') AS warning, count(*) FILTER (WHERE outcome = 'not_met') AS not_met FROM s GROUP BY 1""")
+@query(_TURNS_SQL + """ SELECT conv_id, (n + n // 3)::INTEGER AS n_nodes, a::INTEGER AS said, (n // 3)::INTEGER AS made, (greatest(n - 1, 0) + n // 3)::INTEGER AS n_links, NULL::VARCHAR AS error FROM c""")
+def rubric_signals(spark, d):
+    x = _documents(spark, d).select("conv_id", B.signals_of(_SIGNALS, F.col("doc")).alias("r"))
+    kind = "manifests array<struct<localInceptions: array<struct<trait: string>>, localTransformations: array<struct<trait: string>>, ingredients: array<struct<index: int, relationship: string>>, pseudo: boolean>>"
+    x = x.select("conv_id", "r.error", F.from_json("r.value", kind)["manifests"].alias("m"))
+    total = lambda f: F.aggregate("m", F.lit(0), lambda acc, y: acc + F.size(y[f]))
+    return x.select("conv_id", F.size("m").alias("n_nodes"), total("localTransformations").alias("said"), total("localInceptions").alias("made"), total("ingredients").alias("n_links"), "error")
+
+
+@query(_TURNS_SQL + """ SELECT conv_id, 'quality' AS category, 'answered' AS trait, CASE WHEN a >= u THEN 'met' ELSE 'not_met' END AS outcome, false AS error, CASE WHEN a >= u THEN 'all answered' ELSE 'open' END AS report FROM c
+UNION ALL SELECT conv_id, 'quality', 'long', CASE WHEN beyond IS NULL THEN 'met' ELSE 'warning' END, false, coalesce('beyond: ' || beyond, 'short') FROM c
+UNION ALL SELECT conv_id, 'general', 'no_system', CASE WHEN sys IS NULL THEN 'met' ELSE 'not_met' END, false, coalesce('has ' || sys, 'none') FROM c
+UNION ALL SELECT conv_id, 'general', 'signers', 'met', false, 'signed' FROM t WHERE role = 'user' UNION ALL SELECT conv_id, 'general', 'signers', 'not_met', false, 'unsigned' FROM c WHERE u = 0
+UNION ALL SELECT conv_id, 'general', 'broken', 'not_met', true, 'Error: division by zero' FROM c""")
 def rubric_conformance(spark, d):
-    checks = F.array(F.struct(F.lit("answered").alias("trait"), F.when(F.col("a") >= F.col("u"), "met").otherwise("not_met").alias("outcome")), F.struct(F.lit("system").alias("trait"), F.when(F.col("sys"), "met").otherwise("warning").alias("outcome")))
-    s = _documents(spark, d).select(F.explode(checks).alias("s")).select("s.*")
-    return s.groupBy("trait").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("met", "warning", "not_met")])
+    return B.outcomes(_RUBRIC, _documents(spark, d), "conv_id", "doc")
+
+
+@query(_TURNS_SQL + """, r AS (SELECT 'answered' AS trait, CASE WHEN a >= u THEN 'met' ELSE 'not_met' END AS o FROM c UNION ALL SELECT 'long', CASE WHEN beyond IS NULL THEN 'met' ELSE 'warning' END FROM c UNION ALL SELECT 'no_system', CASE WHEN sys IS NULL THEN 'met' ELSE 'not_met' END FROM c
+UNION ALL SELECT 'signers', 'met' FROM t WHERE role = 'user' UNION ALL SELECT 'signers', 'not_met' FROM c WHERE u = 0 UNION ALL SELECT 'broken', 'error' FROM c)
+SELECT trait, count(*) FILTER (o = 'met') AS met, count(*) FILTER (o = 'warning') AS warning, count(*) FILTER (o = 'not_met') AS not_met, count(*) FILTER (o = 'error') AS error FROM r GROUP BY 1""")
+def rubric_outcomes(spark, d):
+    return B.outcome_counts(B.outcomes(_RUBRIC, _documents(spark, d), "conv_id", "doc"), "trait")
 
 
 # --- the JSON query language -------------------------------------------------------------------------
