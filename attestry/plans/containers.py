@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import lineage as L
-from ..sources import images, xmp
+from ..sources import embedded, images, layouts, pixels, xmp
 from .registry import query, table
 
 # --- JPEG ---------------------------------------------------------------------------------------
@@ -179,3 +179,104 @@ def lineage_stores(spark, d):
     store = F.to_json(F.struct(label(F.size("turns") - 1).alias("active_manifest"), F.map_from_entries(F.transform("turns", manifest)).alias("manifests")))
     x = t.select("conv_id", L.lineage(store).alias("x"))
     return x.select("conv_id", "x.n_steps", "x.n_inputs", F.array_join("x.missing", ",").alias("missing"), "x.truncated", "x.generative_depth", F.array_join("x.parent_codes", ",").alias("parent_codes"), "x.summary")
+
+
+# --- embedded metadata and layouts --------------------------------------------------------------------
+
+#: A complete JPEG without metadata: a table, a scan of eight bytes, its end.
+_SMALL = "FFDB004300" + "10" * 64 + "FFDA0002" + "11" * 8 + "FFD9"
+
+
+def _segment(marker: str, data):
+    return F.concat(F.lit("FF" + marker), F.format_string("%04X", (F.length(data) / 2).cast("int") + 2), data)
+
+
+def _hex(text) -> object:
+    return F.hex(text.cast("binary")) if not isinstance(text, str) else F.lit(text.encode().hex().upper())
+
+
+def _field(tag: str, kind: int, count, value):
+    return F.concat(F.lit(tag + f"{kind:04X}"), F.format_string("%08X", count.cast("int") if not isinstance(count, int) else F.lit(count)), value)
+
+
+@query("""SELECT p_partkey, p_brand AS make, CASE WHEN p_partkey % 3 = 0 THEN 'midjourney v6' ELSE p_type END AS software, p_size::INTEGER AS width, (p_size + 1)::INTEGER AS height, p_name AS program, 'v' || p_size AS version, 'sRGB ' || p_name AS profile, '4.3' AS profile_version,
+  '<x ' || p_name || '/>' AS xmp, p_partkey % 2 = 0 AS xmp_incomplete,
+  CASE WHEN p_partkey % 3 = 0 THEN 'present' WHEN p_size % 5 <> 0 OR (p_partkey % 4 = 0) THEN 'inconclusive' ELSE 'absent' END AS status
+FROM part""")
+def embedded_metadata(spark, d):
+    """JPEGs with EXIF, XMP (ordinary and extended), IPTC datasets and an ICC profile, all in one pass."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("int")
+    software = F.when(k % 3 == 0, "midjourney v6").otherwise(F.col("p_type"))
+    eight = lambda x: F.format_string("%08X", x)
+    make, tool = F.concat(_hex(F.col("p_brand")), F.lit("00")), F.concat(_hex(software), F.lit("00"))
+    n_make, n_tool = F.octet_length("p_brand") + 1, F.octet_length(software) + 1
+    # TIFF: header (8), directory of three (2 + 36 + 4) to 50, sub-directory of two (2 + 24 + 4) to 80, then the texts
+    tiff = F.concat(
+        F.lit("4D4D002A000000080003"), _field("010F", 2, n_make, eight(F.lit(80))), _field("0131", 2, n_tool, eight(F.lit(80) + n_make)), _field("8769", 4, 1, F.lit("00000032")), F.lit("00000000"),
+        F.lit("0002"), _field("A002", 4, 1, eight(size)), _field("A003", 4, 1, eight(size + 1)), F.lit("00000000"), make, tool,
+    )
+    dataset = lambda n, text: F.concat(F.lit(f"1C02{n:02X}"), F.format_string("%04X", F.octet_length(text)), _hex(text))
+    program, version, profile = F.col("p_name"), F.concat(F.lit("v"), size.cast("string")), F.concat(F.lit("sRGB "), F.col("p_name"))
+    sets = F.concat(dataset(65, program), dataset(70, version))
+    resource = F.concat(F.lit("3842494D04040000"), eight((F.length(sets) / 2).cast("int")), sets)
+    said = F.concat(F.lit("6465736300000000"), eight(F.octet_length(profile) + 1), _hex(profile), F.lit("00"))
+    icc = F.concat(F.lit("00" * 8 + "0430" + "00" * 2 + "6D6E7472" + "52474220" + "00" * 16 + "61637370" + "00" * 88 + "00000001" + "64657363" + "00000090"), eight((F.length(said) / 2).cast("int")), said)
+    packet = F.concat(F.lit("<x "), F.col("p_name"), F.lit("/>"))
+    half = F.floor(F.length("p_name") / 2).cast("int")
+    extended = lambda begin, text, whole: _segment("E1", F.concat(_hex("http://ns.adobe.com/xmp/extension/\0" + "G" * 32), eight(whole), eight(begin), _hex(text)))
+    whole = F.octet_length("p_name")
+    parts = F.concat(extended(half, F.substr(F.col("p_name"), half + 1, whole), whole), F.when(k % 2 == 0, "").otherwise(extended(F.lit(0), F.substr(F.col("p_name"), F.lit(1), half), whole)))
+    content = F.unhex(F.concat(
+        F.lit("FFD8"), _segment("E1", F.concat(_hex("Exif\0\0"), tiff)), _segment("E1", F.concat(_hex("http://ns.adobe.com/xap/1.0/\0"), _hex(packet))), parts,
+        _segment("E2", F.concat(_hex("ICC_PROFILE\0"), F.lit("0101"), icc)), _segment("ED", F.concat(_hex("Photoshop 3.0\0"), resource)), F.lit(_SMALL),
+    ))
+    x = table(spark, d, "part").select("p_partkey", "p_size", embedded.embedded(content).alias("x"))
+    generator = S.first_needle(F.col("x.software"), ["midjourney", "dall-e"])
+    conflict = images.dims_conflict(F.col("x.width"), F.col("x.height"), F.when(F.col("p_size") % 5 == 0, F.col("p_size")).otherwise(0), F.col("p_size") + 1)
+    status = embedded.exif_status(generator, conflict, k % 4 == 0, F.col("x.maker_note"), F.lit(True), F.lit(None).cast("string"))
+    return x.select(
+        "p_partkey", "x.make", "x.software", "x.width", "x.height", F.col("x.iim")[65][0].alias("program"), F.col("x.iim")[70][0].alias("version"), F.col("x.icc_description").alias("profile"), F.col("x.icc_version").alias("profile_version"),
+        F.col("x.xmp")[0].alias("xmp"), F.col("x.xmp_incomplete").alias("xmp_incomplete"), status.alias("status"),
+    )
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 6 AS f FROM part)
+SELECT k AS p_partkey, CASE WHEN f = 0 THEN 'absent' WHEN f IN (1, 5) THEN 'present' ELSE 'inconclusive' END AS status, CASE f WHEN 2 THEN 'item 1 is cut short' WHEN 3 THEN 'bytes behind the last item' WHEN 4 THEN 'an item''s length is no number' ELSE '' END AS wrong,
+  CASE WHEN f IN (0, 4) THEN '' WHEN f = 2 THEN n || '/' || (n - 1) || ',0/0' WHEN f = 3 THEN n || '/' || n || ',0/0' ELSE n || '/' || n || ',0/0' END AS parts FROM p""")
+def container_directories(spark, d):
+    """JPEGs with a directory of items behind them: agreeing, cut short, with bytes too many, with a wrong length, and without one."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    f = k % 6
+    item = lambda name, mime, more: F.concat(F.lit(f'<C:Item I:Semantic="{name}" I:Mime="{mime}"'), more, F.lit("/>"))
+    length = F.when(f == 4, F.lit(" I:Length='many'")).otherwise(F.concat(F.lit(" I:Length='"), n.cast("string"), F.lit("'")))
+    xmp_text = F.concat(F.lit(f"<x xmlns:C='{layouts.CONTAINER}' xmlns:I='{layouts.ITEM}'><C:Directory>"), item("Primary", "image/jpeg", F.lit("")), item("Depth", "application/x", length), item("Same", "application/x", F.lit(" I:Length='0'")), F.lit("</C:Directory></x>"))
+    behind = F.repeat(F.lit("AB"), (n + F.when(f == 2, -1).when(f == 3, 1).otherwise(0)).cast("int"))
+    content = F.unhex(F.concat(F.lit("FFD8"), F.when(f == 0, "").otherwise(_segment("E1", F.concat(_hex("http://ns.adobe.com/xap/1.0/\0"), _hex(xmp_text)))), F.lit(_SMALL), behind))
+    x = table(spark, d, "part").select("p_partkey", layouts.layout(content).alias("x"))
+    parts = F.array_join(F.transform("x.parts", lambda p: F.concat(p["length"].cast("string"), F.lit("/"), p["present"].cast("string"))), ",")
+    return x.select("p_partkey", "x.status", F.array_join("x.wrong", "; ").alias("wrong"), parts.alias("parts"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 5 AS f FROM part)
+SELECT k AS p_partkey, CASE f WHEN 0 THEN 'absent' WHEN 1 THEN 'present' ELSE 'inconclusive' END AS status, CASE f WHEN 2 THEN 'the number of images differs from the table' WHEN 3 THEN 'image 1 is cut short' WHEN 4 THEN 'image 1 is no JPEG of its length' ELSE '' END AS wrong, CASE WHEN f > 0 THEN 2 ELSE 0 END::INTEGER AS n_images FROM p""")
+def mpf_indexes(spark, d):
+    """JPEGs with an index of two images: agreeing, with a wrong number, with a second image cut short or not a JPEG, and without one."""
+    f = F.col("p_partkey") % 5
+    size = len(_SMALL) // 2 + 2
+    # index: header 8, directory 2 + 24 + 4, table of 32, so the segment ends at byte 80; offsets count from the header at byte 10
+    eight = lambda x: F.format_string("%08X", x)
+    table_ = F.concat(F.lit("20030000" + f"{size + 78:08X}" + "00000000" + "00000000" + "00000000"), eight(F.lit(size)), F.lit(f"{size + 78 - 10:08X}" + "00000000"))
+    index = F.concat(F.lit("4D4D002A00000008" + "0002" + "B0010004" + "00000001"), eight(F.when(f == 2, 3).otherwise(2)), F.lit("B0020007" + "00000020" + "00000026" + "00000000"), table_)
+    second = F.when(f == 4, "AB" * size).otherwise(F.when(f == 3, "FFD8" + _SMALL[:-4]).otherwise("FFD8" + _SMALL))
+    content = F.unhex(F.concat(F.lit("FFD8"), F.when(f == 0, "").otherwise(_segment("E2", F.concat(_hex("MPF\0"), index))), F.lit(_SMALL), second))
+    x = table(spark, d, "part").select("p_partkey", layouts.layout(content, "mpf").alias("x"))
+    return x.select("p_partkey", "x.status", F.array_join("x.wrong", "; ").alias("wrong"), F.size("x.parts").alias("n_images"))
+
+
+@query("""SELECT s_suppkey, 0.0::DOUBLE AS consistent, CASE WHEN s_suppkey % 2 = 0 THEN 'inconclusive' ELSE 'absent' END AS status FROM supplier""")
+def pixel_lattices(spark, d):
+    """Flat planes have no lattice."""
+    plane = F.array_repeat(F.col("s_suppkey").cast("float"), 64 * 64)
+    x = table(spark, d, "supplier").select("s_suppkey", pixels.lattice_of(plane, F.lit(64)).alias("x"))
+    status = F.when(F.col("s_suppkey") % 2 == 0, pixels.lattice_status(F.col("x"))).otherwise(pixels.lattice_status(F.col("x"), 0.1))
+    return x.select("s_suppkey", "x.consistent", status.alias("status"))

@@ -175,3 +175,91 @@ def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in" / "copy.jpg").write_bytes(JPEG)
     (tmp_path / "in" / "d.jpg").write_bytes(JPEG[:30] + b"\xff")
     assert run() == [("a.jpg", "absent"), ("b.png", "not_applicable"), ("d.jpg", "inconclusive")]
+
+
+def segment(kind, data):
+    return bytes([0xFF, kind]) + (len(data) + 2).to_bytes(2, "big") + data
+
+
+SMALL = segment(0xDB, b"\0" + bytes(range(64))) + b"\xff\xda\0\x02\x11\xff\x00\x11\xff\xd0\x11\xff\xd9"
+
+
+def test_ends_of_images():
+    from attestry.sources import layouts as Y
+
+    whole = b"\xff\xd8" + segment(0xE1, b"\xff\xd8\xff\xd9") + SMALL
+    assert Y.primary_end(whole) == len(whole) == Y.primary_end(whole + b"\xff\xd8" + SMALL)
+    assert all(Y.primary_end(whole[:n]) is None for n in range(len(whole))) and Y.primary_end(b"x") is None
+
+
+def test_directories():
+    from attestry.sources import layouts as Y
+
+    head = f"<x xmlns:a='{Y.CONTAINER}' xmlns:b=\"{Y.ITEM}\">"
+    one = lambda body: Y.directory(f"{head}<a:Directory><rdf:Seq>{body}</rdf:Seq></a:Directory></x>")
+    assert one('<a:Item b:Semantic="Primary" b:Mime="m" b:Padding="3"/><a:Item><b:Semantic>G</b:Semantic><b:Mime>n</b:Mime><b:Length> 7 </b:Length></a:Item>') == [
+        {"semantic": "Primary", "mime": "m", "length": None, "padding": 3}, {"semantic": "G", "mime": "n", "length": 7, "padding": None},
+    ]
+    assert Y.directory("<x/>") is None and Y.directory(head) is None
+    for bad in ("", '<a:Item b:Mime="m"/>', '<a:Item b:Semantic="s" b:Mime="m" b:Length="-1"/>', '<a:Item b:Semantic="s" b:Mime="m"/>' * 65):
+        with pytest.raises(ValueError):
+            one(bad)
+    with pytest.raises(ValueError):
+        Y.directory(head + "<a:Directory>")
+    parts, wrong = Y.placed([{"semantic": "Primary", "mime": "m", "length": None, "padding": 2}, {"semantic": "G", "mime": "image/jpeg", "length": 3, "padding": None}, {"semantic": "H", "mime": "m", "length": 0, "padding": 1}, {"semantic": "I", "mime": "m", "length": 9, "padding": None}, {"semantic": "J", "mime": "m", "length": None, "padding": None}], 4, b"01234\0\xff\xd8\xff78")
+    assert [(p["offset"], p["present"]) for p in parts] == [(6, 3), (6, 0), (9, 2)] and wrong == ["padding behind the first item", "item 3 is cut short", "item 4 has no length"]
+
+
+def test_embedded_metadata():
+    from attestry.sources import embedded as M
+
+    assert [M.decoded(t.encode(k)) for t in ("<a>é",) for k in ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-32-be", "utf-32-le")] == ["<a>é"] * 8
+    part = lambda g, whole, at, data: segment(0xE1, M.EXTENDED + g * 32 + whole.to_bytes(4, "big") + at.to_bytes(4, "big") + data)
+    jpeg = lambda *s: b"\xff\xd8" + b"".join(s) + SMALL
+    assert M.packets(jpeg(part(b"a", 4, 2, b"cd"), segment(0xE1, M.XMP + b"<x>"), part(b"a", 4, 0, b"ab"))) == (["<x>", "abcd"], False)
+    for broken in (part(b"a", 4, 0, b"ab"), part(b"a", 4, 2, b"cd"), part(b"a", 2, 0, b"abc"), part(b"a", 2, 0, b"ab") + part(b"b", 2, 0, b"xy"), segment(0xE1, M.EXTENDED + b"short")):
+        assert M.packets(jpeg(broken))[1]
+    text = lambda k, v: len(k + v).to_bytes(4, "big") + b"iTXt" + k + v + b"crc4"
+    assert M.packets(images.PNG_SIGN + text(b"XML:com.adobe.xmp", b"\0\0\0\0\0<y>") + text(b"other", b"\0\0\0\0\0<z>")) == (["<y>"], False)
+    assert M.packets(b"RIFF\0\0\0\0WEBPXMP \x03\0\0\0<w>\0") == (["<w>"], False)
+    chunk = lambda i, n, d: segment(0xE2, M.ICC + bytes([i, n]) + d)
+    assert M.icc_bytes(jpeg(chunk(2, 2, b"b"), chunk(1, 2, b"a"))) == b"ab" and M.icc_bytes(jpeg()) is None
+    for bad in ((chunk(1, 2, b"a"),), (chunk(1, 1, b"a"), chunk(1, 1, b"a")), (chunk(1, 2, b"a"), chunk(2, 3, b"a"))):
+        with pytest.raises(ValueError):
+            M.icc_bytes(jpeg(*bad))
+    import zlib
+
+    iccp = lambda d: images.PNG_SIGN + len(d).to_bytes(4, "big") + b"iCCP" + d + b"crc4"
+    assert M.icc_bytes(iccp(b"n\0\0" + zlib.compress(b"profile"))) == b"profile"
+    for bad in (b"n", b"n\0", b"n\0\x01x", b"n\0\0x"):
+        with pytest.raises(ValueError):
+            M.icc_bytes(iccp(bad))
+    records = lambda *r: b"mluc\0\0\0\0" + len(r).to_bytes(4, "big") + (12).to_bytes(4, "big") + b"".join(c + len(t.encode("utf-16-be")).to_bytes(4, "big") + (16 + 12 * len(r) + sum(len(u.encode("utf-16-be")) for _, u in r[:i])).to_bytes(4, "big") for i, (c, t) in enumerate(r)) + b"".join(t.encode("utf-16-be") for _, t in r)
+    assert M._described(records((b"deDE", "eins"), (b"enUS", "one"))) == "one" and M._described(records((b"deDE", "eins"), (b"frFR", "un"))) == "eins" and M._described(b"text\0\0\0\0 a  b\0") == "a b" and M._described(b"none") is None
+    r = random.Random(4)
+    whole = jpeg(segment(0xE1, M.EXIF + b"II*\0\x08\0\0\0\x01\0\x0f\x01\x02\0\x03\0\0\0ab\0\0\0\0\0\0"), segment(0xE1, M.XMP + b"<x>"), chunk(1, 1, b"\0" * 140), segment(0xED, M.IRB + b"8BIM\x04\x04\0\0\0\0\0\x07\x1c\x02\x41\0\x02ab"))
+    assert M.exif(whole)["make"] == "ab" and M.iim(whole) == {65: ["ab"]}
+    for _ in range(500):  # broken bytes give a row, never an error
+        b = bytearray(whole[: r.randrange(len(whole) + 1)])
+        for _ in range(r.randint(0, 4)):
+            if b:
+                b[r.randrange(len(b))] = r.randrange(256)
+        assert len(M.read(bytes(b))) == 17
+    assert len(M.read(None)) == 17
+
+
+def test_lattices():
+    import numpy as np
+
+    from attestry.sources import pixels as P
+
+    r = np.random.default_rng(0)
+    noise = r.normal(128, 10, (256, 256))
+    grid = noise.copy()
+    grid[::8] += 40
+    grid[:, ::8] += 40
+    plain, (contrast, share) = P.lattice(noise), P.lattice(grid)
+    assert contrast > 4 * plain[0] and share == 1.0 and P.lattice(np.zeros((3, 3))) == (0.0, 0.0)
+    p = r.random((5, 6)).astype(np.float32)
+    want = [[p[y, x] - sum(p[min(4, max(0, y + j)), min(5, max(0, x + i))] for j in (-1, 0, 1) for i in (-1, 0, 1)) / 9 for x in range(6)] for y in range(5)]
+    assert np.allclose(P.residual(p), want, atol=1e-5)
