@@ -183,6 +183,29 @@ def lineage(store: Column, max_depth: int = MAX_DEPTH) -> Column:
     return run(store)
 
 
+def events_of(manifest: Column) -> Column:
+    """array<struct<action, description, code, agent>> of a manifest's JSON text; empty for a text that is no JSON object."""
+
+    def one(text: str | None) -> list[dict]:
+        try:
+            value = json.loads(text) if text is not None else None
+        except (ValueError, RecursionError):
+            value = None
+        return events(value) if isinstance(value, dict) else []
+
+    @F.pandas_udf("array<struct<action: string, description: string, code: string, agent: string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return run(manifest)
+
+
+def timeline(steps: Column) -> Column:
+    """A lineage's steps as lines, the oldest first."""
+    line = lambda s: F.concat(F.when(s["depth"] == 0, F.lit("this file")).otherwise(F.concat(s["depth"].cast("string"), F.lit(" back"))), F.lit(": "), s["stage"], F.when(F.size(s["codes"]) > 0, F.concat(F.lit(" ["), F.array_join(s["codes"], ", "), F.lit("]"))).otherwise(""))
+    return F.array_join(F.transform(F.reverse(steps), line), "\n")
+
+
 def has_code(buckets: list[Column], code: str) -> Column:
     """Whether any bucket of status codes holds the code."""
     return F.coalesce(F.exists(F.concat(*[F.coalesce(b, F.array().cast("array<string>")) for b in buckets]), lambda c: c == code), F.lit(False))

@@ -69,6 +69,36 @@ def named_parts(signed: DataFrame, declared: DataFrame, file: str) -> DataFrame:
     return signed.join(first, [file, "offset", "length"], "left").select(file, "part", "offset", "length", "name")
 
 
+def eligibility(required: DataFrame, found: DataFrame, file: str, part: str) -> DataFrame:
+    """(file, missing, failed, outcome): whether all required parts were found, and all of them are ok."""
+    have = found.select(file, part, F.coalesce("ok", F.lit(False)).alias("ok"))
+    x = required.join(have, [file, part], "left").groupBy(file).agg(F.count_if(F.col("ok").isNull()).alias("missing"), F.count_if(~F.col("ok")).alias("failed"))
+    return x.withColumn("outcome", F.when(F.col("missing") > 0, "missing").when(F.col("failed") > 0, "failed").otherwise("eligible"))
+
+
+def flattened_changes(old: DataFrame, new: DataFrame, file: str) -> DataFrame:
+    """(field, old, new, n) of rows (file, field, value) that differ, over the files of both snapshots; a field of one side is a change."""
+    files = old.select(file).distinct().join(new.select(file).distinct(), file, "left_semi")
+    side = lambda rows, name: rows.join(files, file, "left_semi").select(file, "field", F.col("value").alias(name))
+    x = side(old, "old").join(side(new, "new"), [file, "field"], "full_outer")
+    return x.filter(~F.col("old").eqNullSafe(F.col("new"))).groupBy("field", "old", "new").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_record(spark, **options: object) -> DataFrame:
+    """One row with a run's options as JSON, null options left out."""
+    return spark.range(1).select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(options.items())])).alias("run"))
+
+
+def installed(store: DataFrame) -> DataFrame:
+    """(name, version, sha256) of a pack store's JSON (packs: name -> {version, sha256})."""
+    return store.select(F.explode("packs").alias("name", "p")).select("name", "p.version", "p.sha256").orderBy("name")
+
+
+def write_derivatives(made: DataFrame, path: str) -> None:
+    """(stem, transform, ext, content) rows as Parquet, named <stem>__<transform>.<ext>."""
+    made.select(F.concat("stem", F.lit("__"), F.translate("transform", ":/", "__"), F.lit("."), "ext").alias("name"), "content").write.parquet(path)
+
+
 _TRANSFORM = re.compile(r"(none|png|webp|keep_still|drop_clip|cut_clip|flip_clip|flip_still)|jpeg_q([0-9]+)|(resize|crop|blur|noise)_([0-9.]+)|captured:(.+)")
 
 

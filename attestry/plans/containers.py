@@ -241,7 +241,7 @@ def embedded_metadata(spark, d):
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 6 AS f FROM part)
-SELECT k AS p_partkey, CASE WHEN f = 0 THEN 'absent' WHEN f IN (1, 5) THEN 'present' ELSE 'inconclusive' END AS status, CASE f WHEN 2 THEN 'item 1 is cut short' WHEN 3 THEN 'bytes behind the last item' WHEN 4 THEN 'an item''s length is no number' ELSE '' END AS wrong,
+SELECT k AS p_partkey, CASE WHEN f = 0 THEN 'absent' WHEN f IN (1, 5) THEN 'present' ELSE 'inconclusive' END AS status, CASE f WHEN 2 THEN CASE WHEN n = 1 THEN 'item 1 is beyond the file' ELSE 'item 1 is cut short' END WHEN 3 THEN 'bytes behind the last item' WHEN 4 THEN 'an item''s length is no number' ELSE '' END AS wrong,
   CASE WHEN f IN (0, 4) THEN '' WHEN f = 2 THEN n || '/' || (n - 1) || ',0/0' WHEN f = 3 THEN n || '/' || n || ',0/0' ELSE n || '/' || n || ',0/0' END AS parts FROM p""")
 def container_directories(spark, d):
     """JPEGs with a directory of items behind them: agreeing, cut short, with bytes too many, with a wrong length, and without one."""
@@ -280,3 +280,40 @@ def pixel_lattices(spark, d):
     x = table(spark, d, "supplier").select("s_suppkey", pixels.lattice_of(plane, F.lit(64)).alias("x"))
     status = F.when(F.col("s_suppkey") % 2 == 0, pixels.lattice_status(F.col("x"))).otherwise(pixels.lattice_status(F.col("x"), 0.1))
     return x.select("s_suppkey", "x.consistent", status.alias("status"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END::INTEGER AS n_packets, CASE WHEN p_partkey % 5 > 0 AND contains(lower(p_type), 'steel') THEN 'present' ELSE 'inconclusive' END AS status FROM part""")
+def webp_writers(spark, d):
+    """WebP files whose XMP names a tool: a generator is present, anything else inconclusive."""
+    packet = F.concat(F.lit("<x>"), F.col("p_type"), F.lit("</x>"))
+    little = lambda n: F.concat(*[F.format_string("%02X", F.floor(n / 256**i).cast("int") % 256) for i in range(4)])
+    size = F.octet_length(packet)
+    chunk = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(_hex("XMP "), little(size), _hex(packet), F.when(size % 2 == 1, "00").otherwise("")))
+    content = F.unhex(F.concat(_hex("RIFF"), F.lit("00000000"), _hex("WEBP"), _hex("VP8 "), F.lit("0100000000" + "00"), chunk))
+    x = table(spark, d, "part").select("p_partkey", embedded.embedded(content).alias("x"))
+    named = S.first_needle(F.array_join("x.xmp", " "), ["steel"]).isNotNull()
+    return x.select("p_partkey", F.size("x.xmp").alias("n_packets"), F.when(named, "present").otherwise("inconclusive").alias("status"))
+
+
+@query("""WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, i::INTEGER AS manifest, 'c2pa.' || role AS action, 'said by ' || role AS description, CASE WHEN role = 'user' THEN 'digitalCapture' END AS code, CASE WHEN i % 2 = 0 THEN 'tool ' || i ELSE 'plain' END AS agent FROM t""")
+def manifest_events(spark, d):
+    """Events of all manifests of a store, one per turn."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    action = lambda x, i: F.struct(
+        F.concat(F.lit("c2pa."), x["role"]).alias("action"), F.concat(F.lit("said by "), x["role"]).alias("description"), F.when(x["role"] == "user", "http://x/y/digitalCapture/").alias("digitalSourceType"),
+        F.struct(F.when(i % 2 == 0, "tool").otherwise("plain").alias("name"), F.when(i % 2 == 0, i.cast("string")).alias("version")).alias("softwareAgent"),
+    )
+    one = lambda x, i: F.to_json(F.struct(F.array(F.struct(F.lit("c2pa.actions").alias("label"), F.struct(F.array(action(x, i)).alias("actions")).alias("data"))).alias("assertions")))
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.posexplode(F.transform("turns", one)).alias("manifest", "text"))
+    text = F.col("text")
+    return t.select("conv_id", "manifest", F.explode(L.events_of(text)).alias("e")).select("conv_id", "manifest", "e.*")
+
+
+@query("""SELECT o_orderkey, 'The active manifest declares ' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || '.' ELSE 'no source type.' END || CASE WHEN o_orderkey % 5 > 0 THEN ' A generative declaration stands ' || (o_orderkey % 5) || ' back.' ELSE '' END
+  || CASE WHEN o_orderkey % 3 = 0 THEN ' Not in the store: a, b.' ELSE '' END || CASE WHEN o_orderkey % 7 = 0 THEN ' The walk ended after 16 steps.' ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN ' Ingredients have validation failures.' ELSE '' END AS text FROM orders""")
+def lineage_rationales(spark, d):
+    k = F.col("o_orderkey")
+    none = F.array().cast("array<string>")
+    text = L.rationale(F.lit(16), F.when(k % 2 == 0, F.array("o_orderstatus")).otherwise(none), k % 5, F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(none), k % 7 == 0, k % 11 == 0)
+    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import evidence as E
 from ..operators import runs as R
+from ..sources import files
 from .registry import query, table
 
 
@@ -136,3 +137,57 @@ def stable_order(spark, d):
 def capped_lists(spark, d):
     x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), 1, 2).alias("x"))
     return x.select("l_orderkey", F.array_join(F.transform("x", lambda y: y["l_partkey"].cast("string")), ",").alias("first_parts"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'real' ELSE 'generated' END AS kind, source AS name FROM documents WHERE doc_id % 4 < 3 AND source IS NOT NULL AND NOT contains(source, '/')""")
+def labelled_corpus(spark, d):
+    k = F.col("doc_id")
+    path = F.concat(F.lit("/set/"), F.when(k % 4 == 3, "other").when(k % 3 == 0, "real").otherwise("gen"), F.lit("-"), "source", F.lit("/"), k.cast("string"), F.lit(".JPG"))
+    own = files.labelled(table(spark, d, "documents").select(path.alias("p")), F.col("p"))
+    return own.select(F.regexp_extract("path", "([0-9]+)[.]JPG$", 1).cast("long").alias("doc_id"), "kind", "name")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unsupported type' WHEN doc_id % 3 = 1 THEN 'unreadable' END AS skip_reason, CASE WHEN doc_id % 3 = 2 THEN 8 WHEN doc_id % 3 = 0 THEN 5 END::BIGINT AS size_bytes FROM documents""")
+def skipped_files(spark, d):
+    k = F.col("doc_id")
+    content = F.unhex(F.when(k % 3 == 0, "68656C6C6F").when(k % 3 == 2, "FFD8FF0000000000"))
+    return files.assets(table(spark, d, "documents").select(k.cast("string").alias("path"), content.alias("content"))).select(F.col("path").cast("long").alias("doc_id"), "skip_reason", "size_bytes")
+
+
+@query("SELECT s_suppkey, (s_suppkey % 4)::INTEGER AS n FROM supplier")
+def trust_bundles(spark, d):
+    one = F.concat(F.lit("-----BEGIN CERTIFICATE-----\n"), F.col("s_name"), F.lit("\n-----END CERTIFICATE-----\n"))
+    return table(spark, d, "supplier").select("s_suppkey", files.certificates(F.repeat(one, (F.col("s_suppkey") % 4).cast("int"))).alias("n"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_linenumber % 3 > 0), r AS (SELECT l_orderkey, l_linenumber FROM lineitem)
+SELECT l_orderkey, count(*) FILTER (p.l_linenumber IS NULL) AS missing, count(*) FILTER (p.l_returnflag = 'R') AS failed, CASE WHEN count(*) FILTER (p.l_linenumber IS NULL) > 0 THEN 'missing' WHEN count(*) FILTER (p.l_returnflag = 'R') > 0 THEN 'failed' ELSE 'eligible' END AS outcome
+FROM r LEFT JOIN p USING (l_orderkey, l_linenumber) GROUP BY 1""")
+def eligible_parts(spark, d):
+    x = table(spark, d, "lineitem")
+    return R.eligibility(x.select("l_orderkey", "l_linenumber"), x.filter("l_linenumber % 3 > 0").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") != "R").alias("ok")), "l_orderkey", "l_linenumber")
+
+
+@query("""WITH a AS (SELECT o_orderkey, unnest(['status', 'priority']) AS field, unnest([o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END]) AS v FROM orders WHERE o_orderkey % 3 > 0),
+b AS (SELECT o_orderkey, unnest(['status', 'clerk']) AS field, unnest([CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END, 'c']) AS v FROM orders WHERE o_orderkey % 3 < 2),
+f AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 1), c AS (SELECT * FROM a WHERE o_orderkey IN (SELECT o_orderkey FROM f) AND v IS NOT NULL), e AS (SELECT * FROM b WHERE o_orderkey IN (SELECT o_orderkey FROM f))
+SELECT coalesce(c.field, e.field) AS field, c.v AS old, e.v AS new, count(*) AS n FROM c FULL JOIN e ON c.o_orderkey = e.o_orderkey AND c.field = e.field WHERE c.v IS DISTINCT FROM e.v GROUP BY ALL""")
+def flattened_snapshots(spark, d):
+    """Snapshots as (file, field, value) rows: fields of one side only count as changes; files of one side don't."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    flat = lambda rows, **fields: rows.select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("value")) for f, c in fields.items()])).alias("x")).select("o_orderkey", "x.*").filter(F.col("value").isNotNull())
+    old = flat(o.filter(k % 3 > 0), status=F.col("o_orderstatus"), priority=F.when(k % 5 != 0, F.col("o_orderpriority")))
+    new = flat(o.filter(k % 3 < 2), status=F.when(k % 7 == 0, "X").otherwise(F.col("o_orderstatus")), clerk=F.lit("c"))
+    return R.flattened_changes(old, new, "o_orderkey")
+
+
+@query("SELECT event_id, '{\"path\":\"p' || event_id || '\",\"label\":\"' || event_type || '\",\"sha256\":\"' || sha256(event_type) || '\"}' AS line FROM events")
+def jsonl_lines(spark, d):
+    return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("path"), F.col("event_type").alias("label"), F.sha2("event_type", 256).alias("sha256"))).alias("line"))
+
+
+@query("""SELECT source, sha256(string_agg(doc_id, ',' ORDER BY doc_id)) AS corpus, count(DISTINCT lang) AS n_classes, list_sort(list(DISTINCT lang) FILTER (lang IS NOT NULL))::VARCHAR AS classes FROM documents WHERE source IS NOT NULL GROUP BY 1""")
+def calibration_sets(spark, d):
+    rows = table(spark, d, "documents").filter("source is not null").groupBy("source", "lang").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    x = rows.groupBy("source").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"), F.array_sort(F.collect_set("lang")).alias("classes"))
+    return x.select("source", F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("corpus"), F.size("classes").cast("long").alias("n_classes"), F.concat(F.lit("["), F.array_join("classes", ", "), F.lit("]")).alias("classes"))

@@ -263,3 +263,16 @@ def test_lattices():
     p = r.random((5, 6)).astype(np.float32)
     want = [[p[y, x] - sum(p[min(4, max(0, y + j)), min(5, max(0, x + i))] for j in (-1, 0, 1) for i in (-1, 0, 1)) / 9 for x in range(6)] for y in range(5)]
     assert np.allclose(P.residual(p), want, atol=1e-5)
+
+
+def test_records_and_packs(spark, tmp_path):
+    assert json.loads(R.run_record(spark, reveal=True, fpr=0.01, trust=None).first()[0]) == {"fpr": 0.01, "reveal": True}
+    store = spark.createDataFrame([({"b": ("1", "x"), "a": ("2", "y")},)], "packs map<string, struct<version: string, sha256: string>>")
+    assert [tuple(r) for r in R.installed(store).collect()] == [("a", "2", "y"), ("b", "1", "x")]
+    R.write_derivatives(spark.createDataFrame([("s", "captured:a/b", "jpg", b"x")], "stem string, transform string, ext string, content binary"), f"file://{tmp_path}/d")
+    assert tuple(spark.read.parquet(f"file://{tmp_path}/d").first()) == ("s__captured_a_b.jpg", b"x")
+
+
+def test_timeline(spark):
+    store = json.dumps({"active_manifest": "a", "manifests": {"a": {"ingredients": [{"active_manifest": "b", "relationship": "parentOf"}], "assertions": [{"label": "c2pa.actions", "data": {"actions": [{"action": "c2pa.opened"}]}}]}, "b": {"digitalSourceType": "x/digitalCapture"}}})
+    assert spark.createDataFrame([(store,)], "t string").select(L.lineage(F.col("t")).alias("x")).select(L.timeline(F.col("x.steps"))).first()[0] == "1 back: camera capture [digitalCapture]\nthis file: re-encode"
