@@ -21,25 +21,31 @@ def chains(nodes: DataFrame, node: str, parent: str, max_depth: int = MAX_DEPTH)
     """(start, depth, node, missing, truncated): each node's chain of parents, at most max_depth steps; a cycle ends it as truncated.
 
     Pointers are doubled: each round joins every node's list of ancestors with that of its last one, so max_depth
-    steps take log2(max_depth) joins, of which each is written before the next.
+    steps take log2(max_depth) rounds; every second one is written, so a plan has a few joins however deep the chains are.
     """
     edges = nodes.select(F.col(node).alias("id"), F.col(parent).alias("up"))
     known = edges.select(F.col("id").alias("there"))
     step = lambda i, k: F.struct(i.alias("id"), k.alias("known"))
     lists = edges.join(known, F.col("up") == F.col("there"), "left").select("id", F.when(F.col("up").isNotNull(), F.array(step(F.col("up"), F.col("there").isNotNull()))).otherwise(F.array().cast("array<struct<id:bigint,known:boolean>>")).alias("up"))
-    lists, reach = written(lists, "ancestors"), 1
+    reach, rounds = 1, 0
     while reach < max_depth:
         last = F.get("up", F.lit(reach - 1))
         more = lists.select(F.col("id").alias("next"), F.col("up").alias("more"))
         whole = F.size("up") == reach
-        lists = written(lists.withColumn("last", F.when(whole, last["id"])).join(more, F.col("last") == F.col("next"), "left").select("id", F.when(F.col("more").isNotNull(), F.concat("up", "more")).otherwise(F.col("up")).alias("up")), "ancestors")
-        reach *= 2
+        lists = lists.withColumn("last", F.when(whole, last["id"])).join(more, F.col("last") == F.col("next"), "left").select("id", F.when(F.col("more").isNotNull(), F.concat("up", "more")).otherwise(F.col("up")).alias("up"))
+        reach, rounds = 2 * reach, rounds + 1
+        if rounds % 2 == 0 or reach >= max_depth:
+            lists = written(lists, "ancestors")
     way = F.concat(F.array(step(F.col("id"), F.lit(True))), F.slice("up", 1, max_depth))
     # A place ends the chain if its node isn't known, stood there before, or is the last allowed.
     ids = F.transform("way", lambda x: x["id"])
-    marked = F.transform("way", lambda x, i: F.struct(x["id"].alias("node"), (~x["known"]).alias("missing"), ((i > 0) & ((F.array_position(ids, x["id"]) <= i) | (i == max_depth))).alias("truncated")))
+    marked = lambda again: F.transform("way", lambda x, i: F.struct(x["id"].alias("node"), (~x["known"]).alias("missing"), ((i > 0) & (again(x, i) | (i == max_depth))).alias("truncated")))
+    whole = lists.select("id", way.alias("way")).withColumn("simple", F.size(F.array_distinct(ids)) == F.size("way"))
+    # Few chains meet themselves; only those are searched place by place.
+    plain = whole.filter("simple").select("id", marked(lambda x, i: F.lit(False)).alias("marked"))
+    loops = whole.filter("not simple").select("id", marked(lambda x, i: F.array_position(ids, x["id"]) <= i).alias("marked"))
     ends = F.transform("marked", lambda x, i: F.when(x["missing"] | x["truncated"], i))
-    out = lists.select("id", way.alias("way")).select("id", marked.alias("marked")).withColumn("end", F.array_min(ends))
+    out = plain.unionByName(loops).withColumn("end", F.array_min(ends))
     out = out.select(F.col("id").alias("start"), F.posexplode(F.slice("marked", F.lit(1), F.coalesce(F.col("end") + 1, F.size("marked")))).alias("depth", "x"))
     return out.select("start", "depth", "x.*")
 
