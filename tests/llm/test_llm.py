@@ -69,6 +69,21 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_comes_near_its_targets(spark):
+    """Taken words are within five standard errors of the target, for heavy and light documents; repeated ids draw alike."""
+    r = random.Random(9)
+    rows = [(i, "w " * (r.randint(1, 40) if i % 50 else 3000), f"s{i % 7}") for i in range(4000)] + [(5, "w w", "s5"), (5, "w w", "s5")]
+    got = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x["source"], []).append(x)
+    for rows_ in by.values():
+        rate = rows_[0]["target"] / rows_[0]["source_size"]
+        error = (sum(x["size"] ** 2 for x in rows_) * (rate % 1) * (1 - rate % 1)) ** 0.5
+        assert abs(sum(x["size"] * x["copies"] for x in rows_) - rows_[0]["target"]) <= 5 * error + 1e-6
+    assert len({x["copies"] for x in got if x["doc_id"] == 5}) == 1
+
+
 def test_mixing_caps(spark):
     d = spark.createDataFrame([(i, "w " * n, s) for i, (n, s) in enumerate([(100, "a"), (1, "b"), (1, "c")])], "doc_id long, text string, source string")
     t = {r["source"]: r["target"] for r in mixing.source_targets(d).collect()}
@@ -498,3 +513,13 @@ def test_stages_take_odd_rows(spark, tmp_path):
             out.write.parquet(path)
             docs = spark.read.parquet(path)
     assert shared.scratch(spark, "x") and len(shared._scopes) == 1
+
+
+def test_joins_of_odd_rows(spark):
+    """Null and repeated ids, repeated rows, and long texts that consist of what all share."""
+    text = "all of this stands in every one of the texts that are here today and it goes on for a while"
+    long = " ".join(f"w{i % 900}" for i in range(30_000))
+    rows = [(None, text), (7, text), (7, text), (None, "alone in the world as it seems to be"), (3, text + " more"), (9, long), (8, long + " end"), (8, "x"), (None, None), (5, "  ")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    n = len(text.split()) - 4
+    assert got == sorted([(None, n, 3), (7, n, 3), (7, n, 3), (3, n + 1, 3), (None, 5, None), (9, 900, 8), (8, 901, 8), (8, 1, 8), (None, 0, None), (5, 0, 5)], key=str)
