@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import joined
+
 LAYERS = ("manifest", "container", "mark", "blind")
 STATUSES = ("present", "absent", "inconclusive", "not_applicable")
 
@@ -57,8 +59,8 @@ def listing(spark, sources: list[Source]) -> DataFrame:
     return spark.createDataFrame([(LAYERS.index(s.layer), s.layer, s.name) for s in ordered(sources)], "layer_ord int, layer string, source string")
 
 
-def inspect(assets: DataFrame, sources: list[Source], key: str, only: tuple[str, ...] = LAYERS, details: bool = False) -> DataFrame:
-    """Long evidence rows. Sources are pruned before the plan is built; all are expressions of one pass over the assets."""
+def _each(assets: DataFrame, sources: list[Source], keep: list[str], only: tuple[str, ...], details: bool) -> DataFrame:
+    """keep and e: an array with a struct per source, in order."""
     wanted = ordered(sources, only)
     none = F.struct(F.lit("not_applicable").alias("status"), F.lit(None).cast("string").alias("details"))
     found = {f"source_{i}": F.when(F.coalesce(s.applies(), F.lit(False)), _assessed(s, assets)).otherwise(none) for i, s in enumerate(wanted)}
@@ -66,8 +68,38 @@ def inspect(assets: DataFrame, sources: list[Source], key: str, only: tuple[str,
         F.lit(LAYERS.index(s.layer)).alias("layer_ord"), F.lit(i).alias("source_ord"), F.lit(s.layer).alias("layer"), F.lit(s.name).alias("source"),
         F.col(f"source_{i}.status").alias("status"), *([F.col(f"source_{i}.details").alias("details")] if details else []),
     )
-    each = assets.select(key, *[c.alias(n) for n, c in found.items()])
-    return each.select(key, F.explode(F.array(*[row(i, s) for i, s in enumerate(wanted)])).alias("e")).select(key, "e.*")
+    return assets.select(*keep, *[c.alias(n) for n, c in found.items()]).select(*keep, F.array(*[row(i, s) for i, s in enumerate(wanted)]).alias("e"))
+
+
+def inspect(assets: DataFrame, sources: list[Source], key: str, only: tuple[str, ...] = LAYERS, details: bool = False) -> DataFrame:
+    """Long evidence rows. Sources are pruned before the plan is built; all are expressions of one pass over the assets."""
+    return _each(assets, sources, [key], only, details).select(key, F.explode("e").alias("e")).select(key, "e.*")
+
+
+def summarised(assets: DataFrame, sources: list[Source], key: str, only: tuple[str, ...] = LAYERS) -> DataFrame:
+    """summary(inspect(...)) without rows per source: an asset's statuses are counted where they stand, and one row per asset is shuffled."""
+    number = lambda s: F.size(F.filter("e", lambda x: x["status"] == s)).alias(f"n_{s}")
+    count = [number(s) for s in STATUSES]
+    present = F.transform(F.filter("e", lambda x: x["status"] == "present"), lambda x: F.struct(x["layer_ord"].alias("layer_ord"), x["source_ord"].alias("source_ord"), x["source"].alias("source")))
+    per = _each(assets, sources, [key], only, False).select(key, *count, present.alias("p"))
+    x = per.groupBy(key).agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in STATUSES], F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+    return x.select(key, *[f"n_{s}" for s in STATUSES], F.array_join(F.transform("p", lambda y: y["source"]), ",").alias("present"))
+
+
+def matrixed(assets: DataFrame, sources: list[Source], key: str, only: tuple[str, ...] = LAYERS) -> DataFrame:
+    """Assets x sources without rows per source: the least status name of each."""
+    names = [s.name for s in ordered(sources, only)]
+    per = _each(assets, sources, [key], only, False)
+    return per.groupBy(key).agg(*[F.min(F.col("e")[i]["status"]).alias(n) for i, n in enumerate(names)])
+
+
+def layers_counted(assets: DataFrame, sources: list[Source], key: str, only: tuple[str, ...] = LAYERS) -> DataFrame:
+    """layer_counts(inspect(...)) with one aggregation per asset before the layers are counted."""
+    wanted = sorted({s.layer for s in sources if s.layer in only}, key=LAYERS.index)
+    hit = lambda layer: F.exists("e", lambda x: (x["layer"] == layer) & (x["status"] == "present"))
+    per = _each(assets, sources, [key], only, False).groupBy(key).agg(*[F.bool_or(hit(layer)).alias(f"layer_{layer}") for layer in wanted])
+    total = per.agg(F.count(F.lit(1)).alias("files"), *[F.count_if(f"layer_{layer}").alias(layer) for layer in wanted])
+    return total.select("files", F.explode(F.array(*[F.struct(F.lit(layer).alias("layer"), F.col(layer).alias("n")) for layer in wanted])).alias("x")).select("x.layer", F.col("x.n").alias("files_with_present"), "files")
 
 
 def summary(evidence: DataFrame, key: str) -> DataFrame:
@@ -94,7 +126,7 @@ def first_seen(rows: DataFrame, key: str, value: str, order: str, name: str = "c
 
 def resolve_codes(codes: DataFrame, key: str, code: str, vocabulary: DataFrame) -> DataFrame:
     """Status ladder over a file's codes: an unknown code or a mix of kinds is inconclusive, generative is present, else absent."""
-    known = codes.select(key, code).distinct().join(F.broadcast(vocabulary), code, "left")
+    known = joined(codes.select(key, code).distinct(), vocabulary, code, "left")
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     a = known.groupBy(key).agg(has(F.col("kind").isNull()).alias("unknown"), has(F.col("kind") == "generative").alias("generative"), has(F.col("kind") == "captured").alias("captured"))
     status = F.when(F.col("unknown"), "inconclusive").when(F.col("generative") & F.col("captured"), "inconclusive").when(F.col("generative"), "present").otherwise("absent")

@@ -13,6 +13,7 @@ from ..operators import evidence as E
 from ..operators import intervals as I
 from ..operators import lineage as L
 from ..operators import rubrics as B
+from ..storage import joined
 from .registry import ORACLES, QUERIES, query, table
 
 # --- scans and scalar functions ----------------------------------------------------------------
@@ -115,18 +116,18 @@ def registry_not_applicable(spark, d):
 @query(f"""SELECT event_id, count(*) FILTER (WHERE status = 'present') AS n_present, count(*) FILTER (WHERE status = 'absent') AS n_absent, count(*) FILTER (WHERE status = 'inconclusive') AS n_inconclusive,
   count(*) FILTER (WHERE status = 'not_applicable') AS n_not_applicable, coalesce(string_agg(source, ',' ORDER BY layer_ord, source_ord) FILTER (WHERE status = 'present'), '') AS present FROM ({_EVENT_SQL}) GROUP BY event_id""")
 def summary_rows(spark, d):
-    return E.summary(_event_evidence(spark, d), "event_id")
+    return E.summarised(table(spark, d, "events"), _EVENT_SOURCES, "event_id")
 
 
 @query(f"""SELECT user_id, min(CASE WHEN source = 'error_flag' THEN status END) AS error_flag, min(CASE WHEN source = 'value_band' THEN status END) AS value_band,
   min(CASE WHEN source = 'purchase_mark' THEN status END) AS purchase_mark FROM ({_EVENT_SQL}) GROUP BY user_id""")
 def matrix_pivot(spark, d):
-    return E.matrix(_event_evidence(spark, d), "user_id", "source", ["error_flag", "value_band", "purchase_mark"])
+    return E.matrixed(table(spark, d, "events"), _EVENT_SOURCES, "user_id")
 
 
 @query(f"SELECT layer, count(DISTINCT CASE WHEN status = 'present' THEN user_id END) AS files_with_present, count(DISTINCT user_id) AS files FROM ({_EVENT_SQL}) GROUP BY layer")
 def layer_counts(spark, d):
-    return E.layer_counts(_event_evidence(spark, d), "user_id")
+    return E.layers_counted(table(spark, d, "events"), _EVENT_SOURCES, "user_id")
 
 
 @query("""SELECT o_orderkey, coalesce(c_name, '-') AS name, coalesce(nullif(replace(o_orderpriority, '-', ' '), ''), '-') AS priority, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE '-' END AS state
@@ -147,7 +148,7 @@ _VOCABULARY_SQL = "(VALUES ('click','Click','captured'),('view','View','captured
 def vocab_left_join(spark, d):
     v = spark.createDataFrame(_VOCABULARY, "code string, label string, kind string")
     per = table(spark, d, "events").groupBy(F.col("event_type").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    return per.join(F.broadcast(v), "code", "left").select("code", "label", "kind", "n")
+    return joined(per, v, "code", "left").select("code", "label", "kind", "n")
 
 
 @query("""WITH v(code, kind) AS (VALUES ('A','captured'),('N','generative')), k AS (SELECT DISTINCT l_orderkey, l_returnflag AS code FROM lineitem),
@@ -219,7 +220,7 @@ def hist_anomaly(spark, d):
 def fingerprint_lookup(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_type", "p_size")
     sizes = spark.createDataFrame([(i, "small" if i <= 10 else "medium") for i in range(31)], "p_size int, writer string")
-    return p.join(F.broadcast(sizes), "p_size", "left").select("p_partkey", "p_type", "writer")
+    return joined(p, sizes, "p_size", "left").select("p_partkey", "p_type", "writer")
 
 
 @query("SELECT s_nationkey, max_by(s_name, s_suppkey) AS s_name, max_by(s_acctbal, s_suppkey) AS s_acctbal FROM supplier GROUP BY 1")

@@ -6,7 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a counted side is broadcast; rows of lookup tables are some hundred bytes.
+BROADCAST_ROWS = 200_000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -20,3 +24,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def joined(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str) -> DataFrame:
+    """A join whose small side is broadcast only if it was counted as small; else both are shuffled, and hot keys are split at run time."""
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return big.join(F.broadcast(small) if few else small, on, how)
