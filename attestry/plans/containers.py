@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import lineage as L
-from ..sources import embedded, images, layouts, pixels, xmp
+from ..sources import coefficients, embedded, images, layouts, pixels, xmp
 from .registry import query, table
 
 # --- JPEG ---------------------------------------------------------------------------------------
@@ -317,3 +317,18 @@ def lineage_rationales(spark, d):
     none = F.array().cast("array<string>")
     text = L.rationale(F.lit(16), F.when(k % 2 == 0, F.array("o_orderstatus")).otherwise(none), k % 5, F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(none), k % 7 == 0, k % 11 == 0)
     return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size * 40 AS n, p_partkey % 5 AS f FROM part)
+SELECT k AS p_partkey, CASE WHEN f > 0 AND n >= 1024 THEN 'absent' ELSE 'inconclusive' END AS status, CASE WHEN f > 0 THEN n END::INTEGER AS blocks, CASE WHEN f = 0 THEN 'not sequential Huffman coding' WHEN n < 1024 THEN 'too small' END AS error, CASE WHEN f > 0 AND n >= 1024 THEN 0.0::DOUBLE END AS score FROM p""")
+def double_compression(spark, d):
+    """Even images, a row of blocks each: two bits a block, for a table in which 0 stands for the only symbol."""
+    n = (F.col("p_size") * 40).cast("int")
+    f = F.col("p_partkey") % 5
+    one = "0001" + "00" * 15 + "00"
+    content = F.unhex(F.concat(
+        F.lit("FFD8"), F.when(f == 0, "FFC2").otherwise("FFC0"), F.lit("000B080008"), F.format_string("%04X", n * 8), F.lit("01011100"), F.lit("FFC40014" + one), F.lit("FFC40014" + "10" + one[2:]), F.lit("FFDA0008010100003F00"),
+        F.repeat(F.lit("00"), F.ceil(n / 4).cast("int")), F.lit("FFD9"),
+    ))
+    x = table(spark, d, "part").select("p_partkey", coefficients.double_compression(content).alias("x"))
+    return x.select("p_partkey", "x.status", "x.blocks", "x.error", "x.score")
