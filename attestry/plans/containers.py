@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import lineage as L
-from ..sources import coefficients, embedded, images, layouts, pixels, xmp
+from ..sources import coefficients, embedded, heif, images, layouts, pixels, xmp
 from .registry import query, table
 
 # --- JPEG ---------------------------------------------------------------------------------------
@@ -332,3 +332,23 @@ def double_compression(spark, d):
     ))
     x = table(spark, d, "part").select("p_partkey", coefficients.double_compression(content).alias("x"))
     return x.select("p_partkey", "x.status", "x.blocks", "x.error", "x.score")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name, p_partkey % 5 AS f FROM part)
+SELECT k AS p_partkey, CASE WHEN f = 0 THEN 'a box''s length is wrong' END AS error, CASE WHEN f > 0 THEN 'mif1' END AS brand, CASE WHEN f > 0 THEN 7 END::BIGINT AS primary, CASE WHEN f > 0 THEN 'hvc1,mime' END AS kinds, CASE WHEN f IN (1, 2) THEN '<x>' || p_name || '</x>' WHEN f > 0 THEN '' END AS xmp,
+  CASE f WHEN 3 THEN 'item 9: an extent lies outside its source' WHEN 4 THEN 'item 9: it has no place' WHEN 0 THEN NULL ELSE '' END AS unreadable, CASE WHEN f > 0 THEN f = 2 END AS manifest FROM p""")
+def heif_items(spark, d):
+    """Files of two items, an image and a packet in the file's own data; with a place too far, no place, and a box too long."""
+    f = F.col("p_partkey") % 5
+    box = lambda kind, data: F.concat(F.format_string("%08X", (F.length(data) / 2).cast("int") + 8), _hex(kind), data)
+    packet = F.concat(F.lit("<x>"), F.col("p_name"), F.lit("</x>"))
+    entry = lambda number, kind, text: box("infe", F.concat(F.lit(f"02000000{number:04X}0000"), _hex(kind), _hex(text)))
+    items = box("iinf", F.concat(F.lit("000000000002"), entry(7, "hvc1", "\0"), entry(9, "mime", "n\0application/rdf+xml\0")))
+    length = F.format_string("%04X", F.octet_length(packet) + F.when(f == 3, 1).otherwise(0))
+    # version 1, two-byte offsets and lengths, method 1: in the data box
+    places = box("iloc", F.concat(F.lit("0100000022000001"), F.format_string("%04X", F.when(f == 4, 8).otherwise(9)), F.lit("000100000001"), F.lit("0000"), length))
+    meta = box("meta", F.concat(F.lit("00000000"), box("hdlr", F.concat(F.lit("00" * 8), _hex("pict"), F.lit("00" * 13))), box("pitm", F.lit("000000000007")), items, places, box("idat", _hex(packet))))
+    store = F.when(f == 2, box("uuid", F.lit(heif.MANIFEST.hex().upper() + "00"))).otherwise("")
+    content = F.unhex(F.concat(box("ftyp", F.lit("6D69663100000000" + "6D696631")), store, meta, F.when(f == 0, "000000FF66726565").otherwise("")))
+    x = table(spark, d, "part").select("p_partkey", heif.heif(content).alias("x"))
+    return x.select("p_partkey", "x.error", "x.brand", "x.primary", F.array_join("x.kinds", ",").alias("kinds"), F.array_join("x.xmp", "|").alias("xmp"), F.array_join("x.unreadable", "; ").alias("unreadable"), "x.manifest")

@@ -276,3 +276,40 @@ def test_records_and_packs(spark, tmp_path):
 def test_timeline(spark):
     store = json.dumps({"active_manifest": "a", "manifests": {"a": {"ingredients": [{"active_manifest": "b", "relationship": "parentOf"}], "assertions": [{"label": "c2pa.actions", "data": {"actions": [{"action": "c2pa.opened"}]}}]}, "b": {"digitalSourceType": "x/digitalCapture"}}})
     assert spark.createDataFrame([(store,)], "t string").select(L.lineage(F.col("t")).alias("x")).select(L.timeline(F.col("x.steps"))).first()[0] == "1 back: camera capture [digitalCapture]\nthis file: re-encode"
+
+
+def test_heif_boxes():
+    from attestry.sources import heif as H
+
+    box = lambda kind, data: (len(data) + 8).to_bytes(4, "big") + kind + data
+    ftyp, n = box(b"ftyp", b"heic\0\0\0\0mif1"), lambda x, size: x.to_bytes(size, "big")
+    infe = lambda v, i, rest: box(b"infe", bytes([v, 0, 0, 0]) + n(i, 4 if v == 3 else 2) + b"\0\0" + rest)
+    mime = b"mimex\0application/RDF+xml\0"
+
+    def build(extents, v=2, method=0, tail=b"", version=0):
+        iinf = box(b"iinf", bytes([version, 0, 0, 0]) + n(1, 4 if version else 2) + infe(v, 5, mime))
+        iloc = box(b"iloc", b"\x02\0\0\0\x44\x40" + n(1, 4) + n(5, 4) + n(method, 2) + b"\0\0" + n(10, 4) + n(len(extents), 2) + b"".join(n(a, 4) + n(z, 4) for a, z in extents))
+        return ftyp + box(b"mdat", b"<abc>tail") + box(b"meta", b"\0\0\0\0" + iinf + iloc + tail)
+
+    at = len(ftyp) + 8 - 10
+    assert H.structure(build([(at, 2), (at + 2, 3)]))["xmp"] == ["<abc>"] and H.structure(build([(at, 5)], 3, version=1))["xmp"] == ["<abc>"]
+    assert H.structure(build([], tail=box(b"idat", b"0123456789<in>")))["unreadable"] == ["item 5: no extents"]
+    assert H.structure(build([(0, 0)], method=1, tail=box(b"idat", b"0123456789<in>")))["xmp"] == ["<in>"]
+    for bad in ([(10**6, 1)], [(at, 10**6)]):
+        assert len(H.structure(build(bad))["unreadable"]) == 1
+    assert len(H.structure(build([(at, 1)], method=2))["unreadable"]) == 1 and H.structure(ftyp)["brands"] == ["mif1"]
+    whole = build([(at, 5)], tail=box(b"pitm", b"\0\0\0\0\0\5"))
+    assert H.structure(whole)["primary"] == 5
+    r = random.Random(7)
+    for b in (b"", b"\0\0\0\x08free", ftyp[:10]):
+        with pytest.raises(ValueError):
+            H.structure(b)
+    for _ in range(400):
+        b = bytearray(whole[: r.randrange(len(whole) + 1)])
+        for _ in range(r.randint(0, 4)):
+            if b:
+                b[r.randrange(len(b))] = r.randrange(256)
+        try:
+            H.structure(bytes(b))
+        except ValueError:
+            pass
