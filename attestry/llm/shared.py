@@ -12,6 +12,7 @@ import contextlib
 import ctypes
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -59,44 +60,47 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "attestry-scratch")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not _scopes:
+    if not _application:
         atexit.register(_drop_last, spark)
-        _scopes.append([])
-    _scopes[-1].append(path)
+    (_scopes()[-1] if _scopes() else _application).append(path)
     return path
 
 
-#: Paths of scratch tables by scope; the first is the application's.
-_scopes: list[list[str]] = []
+#: Paths of scratch tables beyond all scopes, and those of each thread's scopes.
+_application: list[str] = []
+_own = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_own, "scopes"):
+        _own.scopes = []
+    return _own.scopes
 
 
 def _drop_last(spark: SparkSession) -> None:
     try:
-        discard(spark, *_scopes[0])
+        discard(spark, *_application)
     except Exception:  # noqa: BLE001  the JVM went first; what is left is the folder's owner's to clean
         pass
-    _scopes.clear()
+    _application.clear()
 
 
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Scratch tables that come up within are deleted at its end: write the result before, or with kept()."""
-    if not _scopes:
-        atexit.register(_drop_last, spark)
-        _scopes.append([])
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        discard(spark, *_scopes.pop())
+        discard(spark, *_scopes().pop())
 
 
 def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df stored beyond the scope at hand, in the one around it; and its path."""
     df, path = stored(df, name)
-    if len(_scopes) > 1:
-        _scopes[-1].remove(path)
-        _scopes[-2].append(path)
+    if own := _scopes():
+        own[-1].remove(path)
+        (own[-2] if len(own) > 1 else _application).append(path)
     return df, path
 
 

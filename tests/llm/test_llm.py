@@ -300,6 +300,18 @@ def test_token_files(spark, docs, empty):
     assert token_files.tokens_of(empty).count() == 0
 
 
+def test_other_tokenizers_go_whole(spark, docs):
+    """A file with another pre-tokenizer or normalizer is encoded as the library does it."""
+    from tokenizers import Tokenizer
+
+    path = token_files.public_vocabulary("word_bpe_49k.json")
+    assert not token_files.Encoder(path).known and token_files.Encoder(token_files.public_vocabulary()).known
+    t = Tokenizer.from_file(path)
+    got = sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.tokens_of(docs, path).collect())
+    ids = {r["doc_id"]: [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
+    assert got == sorted((d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in ids.items())
+
+
 def plain_scan(text):
     """(n_words, n_base, first_word, last_word, base_labels) by plain Python."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
@@ -512,7 +524,7 @@ def test_stages_take_odd_rows(spark, tmp_path):
             path = f"file://{tmp_path}/{name}-{docs is table}-{out.count()}"
             out.write.parquet(path)
             docs = spark.read.parquet(path)
-    assert shared.scratch(spark, "x") and len(shared._scopes) == 1
+    assert not shared._scopes()
 
 
 def test_joins_of_odd_rows(spark):
@@ -523,3 +535,16 @@ def test_joins_of_odd_rows(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
     n = len(text.split()) - 4
     assert got == sorted([(None, n, 3), (7, n, 3), (7, n, 3), (3, n + 1, 3), (None, 5, None), (9, 900, 8), (8, 901, 8), (8, 1, 8), (None, 0, None), (5, 0, 5)], key=str)
+
+
+def test_scopes(spark, tmp_path):
+    d = spark.range(3)
+    there = lambda path: os.path.isdir(path.removeprefix("file://"))
+    with shared.scope(spark):
+        _, outer = shared.stored(d, "a")
+        with shared.scope(spark):
+            _, inner = shared.stored(d, "b")
+            own, stays = shared.kept(d, "c")
+        assert there(outer) and there(stays) and not there(inner) and own.count() == 3
+        _, last = shared.kept(d, "d")
+    assert not there(outer) and not there(stays) and there(last) and last in shared._application
