@@ -101,9 +101,21 @@ def decoded(text: Column) -> Column:
     return F.when(text.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"), F.unbase64(text))
 
 
+def utc_text(t: Column) -> Column:
+    """UTC text of a timestamp to the second, in any session time zone. Years have four digits or more and no plus sign; before year 0 a minus sign and no padding."""
+    s = F.unix_seconds(t)
+    rest = F.pmod(s, F.lit(86400))
+    day = F.date_from_unix_date(((s - rest) / 86400).cast("int"))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    year = F.year(day).cast("string")
+    year = F.when(F.year(day).between(0, 999), F.lpad(year, 4, "0")).otherwise(year)
+    parts = [year, "-", two(F.month(day)), "-", two(F.day(day)), "T", two(F.floor(rest / 3600)), ":", two(F.floor(rest / 60) % 60), ":", two(rest % 60), "Z"]
+    return F.concat(*[F.lit(p) for p in parts])
+
+
 def rfc3339(seconds: Column) -> Column:
-    """UTC time text of Unix seconds (session time zone UTC)."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC time text of Unix seconds, as :func:`utc_text` writes it."""
+    return utc_text(F.timestamp_seconds(seconds))
 
 
 def remote_url_problem(url: Column) -> Column:
